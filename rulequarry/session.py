@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -59,6 +60,11 @@ class Scratch:
         kept._scratch = path
         return kept
 
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, kept: DataFrame) -> None:
         """Delete a table of this scratch space that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
