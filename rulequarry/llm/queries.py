@@ -80,10 +80,10 @@ def oracle_sql() -> dict[str, str]:
         "op9_line_hash_dedup": r"""
             WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
             u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM s),
-            p AS (SELECT doc_id, i, part, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+            p AS (SELECT doc_id, i, part, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
                          translate(trim(regexp_replace(part, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM u),
             r AS (SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) > 1 AS gone FROM p)
             SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(part)) FILTER (gone), 0)::BIGINT AS chars_removed,
-                   coalesce(string_agg(at || '-' || (at + length(part)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans
+                   coalesce(string_agg(pos || '-' || (pos + length(part)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans
             FROM r GROUP BY doc_id""",
     }
