@@ -21,7 +21,7 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) ->
         new = scratch.keep(step.join(seen, ["start", "node"], "left_anti"))
         if not new.limit(1).count():
             return seen
-        seen = scratch.keep(seen.union(new))
+        seen = seen.union(new)  # both are written tables
 
 
 def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, *, longest: int = 64) -> DataFrame:

@@ -331,7 +331,7 @@ class Parser:
             if op == "not in":
                 self.step()
             self.lines()
-            if op == "when" and self.is_("key"):
+            if op in ("when", "|") and self.is_("key"):
                 right = self.keywords(no_do)
             else:
                 right = self.expression(power + (side == "l"), no_do)
@@ -344,6 +344,8 @@ class Parser:
         token = self.now
         if token.kind == "op" and token.value in UNARY:
             self.step()
+            if token.value == "&" and token.tight and self.is_("number"):  # a placeholder
+                return self.suffixed(Node("call", "&", [self.primary(no_do)], token.line), no_do)
             self.lines()
             inner = self.expression(UNARY[token.value], no_do)
             return Node("call", token.value, [inner], token.line)
