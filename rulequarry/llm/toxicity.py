@@ -8,6 +8,7 @@ is scored once for a worker.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 SIZES = (3, 4, 5)
 TABLE = 1 << 20
 #: Labelled texts of each class that the model is fitted on at most, the first by hash of doc_id.
-FIT_ROWS = 2_000
+FIT_ROWS = 1_500
 #: The toxic class weighs this share at least, so that few labels suffice.
 LEAST_SHARE = 0.3
 
@@ -68,16 +69,20 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, *, pena
     if not 0 < y.sum() < len(y):
         return Model(weight, 0.0 if not len(y) else (30.0 if y[0] else -30.0))
     number: dict[str, int] = {}
-    doc, word = [], []
+    doc, word, of, places = (array("q") for _ in range(4))
     for d, t in enumerate(texts):
         for w in words_of(t):
+            if w not in number:
+                number[w] = len(number)
+                own = grams(w)
+                places.extend(own)
+                of.extend([number[w]] * len(own))
             doc.append(d)
-            word.append(number.setdefault(w, len(number)))
-    doc, word = np.array(doc), np.array(word)
-    of, places = zip(*((i, g) for w, i in number.items() for g in grams(w)), strict=True) if number else ((), ())
-    of = np.array(of, np.int64)
-    place, gram = np.unique(np.array(places, np.int64), return_inverse=True)
-    n, v, g = len(y), len(number), len(place)
+            word.append(number[w])
+    doc, word, of, places = (np.array(x, np.int32) for x in (doc, word, of, places))
+    place, gram = np.unique(places, return_inverse=True)
+    gram, number, places = gram.astype(np.int32), len(number), None
+    n, v, g = len(y), number, len(place)
     spread = lambda x: np.bincount(doc, weights=np.bincount(of, weights=x[gram], minlength=v)[word], minlength=n)  # noqa: E731  of grams to texts
     gather = lambda e: np.bincount(gram, weights=np.bincount(word, weights=e[doc], minlength=v)[of], minlength=g)  # noqa: E731  of texts to grams
     p, q = gather(y) + smooth, gather(1 - y) + smooth
