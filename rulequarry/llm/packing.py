@@ -26,7 +26,7 @@ WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
 END = 1
 #: Tokens that are gathered before they are packed; bounds the memory of a task.
-BUFFER = 4_000_000
+BUFFER = 2_000_000
 
 _caches: dict = {}
 
