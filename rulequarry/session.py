@@ -18,6 +18,7 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable by Python workers, whatever their working folder is, and keep their Arrow batches of whole texts small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # the default
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
