@@ -102,7 +102,8 @@ def exact_groups(docs: DataFrame, scratch: Scratch, *, row: str | None = None, c
     of ``docs`` are ignored, whatever their names.
 
     Texts are shuffled once, by row number, and only where some fingerprint repeats; a group of any size is compared by
-    an aggregation that keeps one chunk a task, so it never meets in one place.
+    an aggregation that keeps one chunk a task, so it never meets in one place. Joins by row number merge at every size:
+    a side that grows with the documents is never broadcast.
     """
     norm = docs.select(*([F.col(row).alias("row")] if row else []), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(whole_text(docs), SPACES, " ").alias("norm"))
     norm = scratch.keep(norm if row else numbered(norm, "row"))
@@ -118,13 +119,13 @@ def exact_groups(docs: DataFrame, scratch: Scratch, *, row: str | None = None, c
     likely = scratch.keep(prints.join(shared, key, "left_semi"))
 
     # texts behind equal fingerprints, chunk by chunk: the smallest and the largest are the same only if all are
-    parts = norm.join(likely, "row").select(*key, F.posexplode(pieces).alias("part", "chunk"))
+    parts = norm.join(likely.hint("merge"), "row").select(*key, F.posexplode(pieces).alias("part", "chunk"))
     odd = parts.groupBy(*key, "part").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select(*key).distinct()
     odd = scratch.keep(odd)
     split = norm.join(likely.join(odd, key, "left_semi").select("row"), "row", "left_semi")
     split = split.select("row", F.concat(F.lit("t"), "norm").alias("own"))
 
-    facts = norm.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256")).join(prints, "row")
+    facts = norm.select("row", "doc_id", F.sha2("norm", 256).alias("text_sha256")).join(prints.hint("merge"), "row")
     if odd.limit(1).count():
         facts = facts.join(split, "row", "left")
     else:
