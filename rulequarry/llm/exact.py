@@ -131,6 +131,9 @@ def exact_groups(docs: DataFrame, scratch: Scratch, *, row: str | None = None, c
     else:
         facts = facts.withColumn("own", F.lit(None).cast("string"))
     facts = scratch.keep(facts.withColumn("own", F.coalesce("own", F.lit(""))))
+    for table in (norm, prints, shared, likely, odd):
+        scratch.drop(table)
+    scratch.tidy()
     key.append("own")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     groups = facts.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(order).alias("first")).where("group_size > 1")

@@ -144,8 +144,10 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5, with all their columns. Any row may lack any value; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(text):
-        return text.groupby(np.arange(len(text)) // 512).transform(lambda part: shared.value.score(part.tolist()))
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            keep = [s < 0.5 for a in range(0, len(texts), 128) for s in shared.value.score(texts[a : a + 128])]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.where(of(whole_text(docs)) < 0.5)
+    return docs.select("*", whole_text(docs).alias("_toxicity_text")).mapInArrow(run, docs.schema)
