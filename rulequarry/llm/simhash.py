@@ -225,7 +225,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, *, words_each: int = 3, dista
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = scratch.keep(fingerprints(docs, "row", "doc_id", words_each=words_each))
     distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    links = hamming_links(distinct, scratch, distance=distance, blocks=blocks)
+    links = scratch.keep(hamming_links(distinct, scratch, distance=distance, blocks=blocks))  # written, so that a task needs one Python worker at a time
     groups = connected_components(links, scratch).withColumnsRenamed({"node": "fp", "component": "group"})
     distinct = scratch.keep(distinct.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
     least = scratch.keep(distinct.groupBy("group").agg(F.min("doc_id").alias("component_id")))
