@@ -51,7 +51,7 @@ def op7_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.removed_lines(_read(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return fuzzy_lines.removed_lines(_read(spark, sf_dir, "documents"), Scratch(spark, "op8"), by="ngrams")
 
 
 def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
