@@ -7,7 +7,10 @@ import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag; what they hold is never main text.
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
+#: Elements of other languages: tags in them may close themselves, and a block element outside of an integration point ends them.
+FOREIGN = frozenset({"svg", "math"})
+POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul head hr select option button noscript".split()
@@ -37,11 +40,18 @@ class Node:
         return {m[1].lower(): html.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in reversed(list(_ATTR.finditer(self.attrs)))}
 
 
+def _language(node: Node) -> Node:
+    """The nearest element, from the node upward, that decides whether tags are HTML or of another language."""
+    while node.parent is not None and node.tag not in FOREIGN and node.tag not in POINTS and node.tag not in BLOCK:
+        node = node.parent
+    return node
+
+
 def parse(source: str) -> Node:
     """The root of the tree; children are nodes and strings whose character references are decoded. Any input gives a tree."""
     root = here = Node("#root")
     at, end = 0, len(source)
-    depth = 0
+    depth, drawn = 0, False
     while at < end:
         lt = source.find("<", at)
         if lt < 0:
@@ -70,7 +80,11 @@ def parse(source: str) -> Node:
                 here = node.parent
                 depth -= 1
             continue
-        if name in RAW:
+        foreign = _language(here) if drawn else root
+        while foreign.tag in FOREIGN and name in BLOCK:  # it was never closed
+            here = foreign.parent
+            foreign = _language(here)
+        if name in RAW and not (foreign.tag in FOREIGN and m["attrs"].rstrip().endswith("/")):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
             at = close.end() if close else end
             here.children.append(Node(name, m["attrs"], here))
@@ -93,4 +107,5 @@ def parse(source: str) -> Node:
         here.children.append(child)
         if name not in VOID and not (m["attrs"].rstrip().endswith("/") and name not in BLOCK):
             here = child
+            drawn = drawn or name in FOREIGN
     return root

@@ -67,7 +67,7 @@ def blocks_of(root: Node) -> tuple[list[Block], list[tuple[int, str]]]:
             link += len(child.strip()) if linked else 0
         elif child.tag == "br":
             run.append(" ")
-        elif child.tag in RAW or child.tag == "head":
+        elif child.tag in RAW or child.tag in ("head", "svg"):
             continue
         elif child.tag in BLOCK:
             flush()
