@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +25,47 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) ->
         seen = seen.union(new)  # both are written tables
 
 
-def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, *, longest: int = 64) -> DataFrame:
+def _search():
+    """The first path from the start to the target of each group of edges, by depth-first search over sorted neighbours."""
+
+    def run(table):
+        start, target = table.column("start")[0].as_py(), table.column("target")[0].as_py()
+        after: dict = {}
+        for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+            after.setdefault(a, []).append(b)
+        path, seen, todo = [start], {start}, [iter(sorted(after.get(start, ())))]
+        while path and path[-1] != target:
+            step = next((x for x in todo[-1] if x not in seen), None)
+            if step is None:  # what was left behind can't reach the target but over the path that led to it
+                path.pop()
+                todo.pop()
+            else:
+                seen.add(step)
+                path.append(step)
+                todo.append(iter(sorted(after.get(step, ()))))
+        found = [path] if path else []
+        kinds = [table.schema.field("start").type, table.schema.field("target").type, pa.list_(table.schema.field("src").type)]
+        return pa.table([pa.array([x] * len(found), k) for x, k in zip((start, target), kinds, strict=False)] + [pa.array(found, kinds[2])], ["start", "target", "path"])
+
+    return run
+
+
+def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """``start, target, path``: the lexicographically first simple path, which is what depth-first search over sorted neighbours finds.
 
-    Only nodes that the start reaches and that reach the target are walked. At each round the first prefix of each (start, target) is not enough, since it
-    may run into a dead end of visited nodes, so all simple prefixes are kept; a path of more than ``longest`` nodes is an error, not a cut.
+    Only nodes that the start reaches and that reach the target are searched, each once and in one task for a pair, so paths may have any length.
     """
+    pairs = pairs.distinct()
     forward = transitive_closure(edges, pairs.select("start").distinct(), scratch)
     back = transitive_closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("start")).distinct(), scratch)
     useful = forward.join(pairs, "start").join(back.select(F.col("start").alias("target"), "node"), ["target", "node"])
     useful = scratch.keep(useful.select("start", "target", "node").distinct())
-    edges = edges.where("src <> dst").distinct()
-    walk = pairs.distinct().select("start", "target", F.array("start").alias("path"))
-    done = None
-    for _ in range(longest):
-        walk = scratch.keep(walk)
-        arrived = walk.where(F.element_at("path", -1) == F.col("target"))
-        done = arrived if done is None else done.union(arrived)
-        walk = walk.where(F.element_at("path", -1) != F.col("target"))
-        if not walk.limit(1).count():
-            return done.groupBy("start", "target").agg(F.min("path").alias("path"))
-        on = walk.withColumn("src", F.element_at("path", -1)).join(edges, "src").where(~F.array_contains("path", F.col("dst")))
-        walk = on.join(useful.withColumnRenamed("node", "dst"), ["start", "target", "dst"], "left_semi").select("start", "target", F.concat("path", F.array("dst")).alias("path"))
-    raise ValueError(f"a path of more than {longest} nodes")
+    edges = edges.where("src <> dst").select("src", "dst").distinct()
+    steps = useful.withColumnRenamed("node", "src").join(edges, "src").join(useful.withColumnRenamed("node", "dst"), ["start", "target", "dst"], "left_semi")
+    kind = {c: (edges if c in ("src", "dst") else pairs).schema[c].dataType.simpleString() for c in ("start", "target", "src")}
+    steps = steps.where("start <> target").select("start", "target", "src", "dst")
+    found = steps.groupBy("start", "target").applyInArrow(_search(), f"start {kind['start']}, target {kind['target']}, path array<{kind['src']}>")
+    return found.union(pairs.where("start = target").select("start", "target", F.array(F.col("start").cast(kind["src"]))))
 
 
 def chain_text(path: Column) -> Column:

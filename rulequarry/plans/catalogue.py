@@ -146,6 +146,54 @@ def dependency_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select(F.col("start").cast("long").alias("start"), F.col("target").cast("long").alias("target"), graph.chain_text(F.col("path").cast("array<string>")).alias("chain"))
 
 
+# transitive_closure and dependency_path are cut to 1,000 parts and 13 nations as their SQL is; these three take every row and have no SQL
+
+
+def whole(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _all_parts(spark, sf_dir):
+    """Edges between all parts, made of their keys and the table's size, and that size."""
+    parts = _read(spark, sf_dir, "part").where("p_partkey is not null").select(F.col("p_partkey").cast("long").alias("src"))
+    n = parts.count()
+    size = F.lit(max(n, 1))
+    return parts.select("src", F.explode(F.array((3 * F.col("src") + 1) % size, (7 * F.col("src")) % size)).alias("dst")).distinct(), parts, max(n, 1)
+
+
+@whole
+def transitive_closure_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts that every n/4-th part leads to."""
+    edges, parts, n = _all_parts(spark, sf_dir)
+    starts = parts.where(F.col("src") % max(n // 4, 1) == 1 % max(n // 4, 1)).select(F.col("src").alias("start"))
+    return graph.transitive_closure(edges, starts, Scratch(spark, "closure"))
+
+
+def _chains(spark, edges, pairs):
+    ship(spark)
+    paths = graph.first_paths(edges, pairs.where("start <> target"), Scratch(spark, "paths"))
+    return paths.select("start", "target", graph.chain_text(F.col("path").cast("array<string>")).alias("chain"))
+
+
+@whole
+def dependency_path_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first simple path from every n/4-th part to every n/3-rd."""
+    edges, parts, n = _all_parts(spark, sf_dir)
+    starts = parts.where(F.col("src") % max(n // 4, 1) == 1 % max(n // 4, 1)).select(F.col("src").alias("start"))
+    targets = parts.where(F.col("src") % max(n // 3, 1) == 2 % max(n // 3, 1)).select(F.col("src").alias("target"))
+    return _chains(spark, edges, starts.crossJoin(F.broadcast(targets)))
+
+
+@whole
+def dependency_path_all_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first simple path between any two nations."""
+    keys = _read(spark, sf_dir, "nation").where("n_nationkey is not null").select(F.col("n_nationkey").cast("long").alias("src"))
+    n, key = max(keys.count(), 1), F.col("src")
+    edges = keys.select("src", F.explode(F.array((2 * key + 1) % n, (key * key + 3) % n)).alias("dst"))
+    return _chains(spark, edges, keys.select(key.alias("start")).crossJoin(keys.select(key.alias("target"))))
+
+
 @query("SELECT o_custkey AS module, arg_max(o_orderstatus, o_orderkey) AS kept FROM orders GROUP BY o_custkey")
 def duplicate_module_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of rows of one key the last wins."""
