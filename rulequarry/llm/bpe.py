@@ -1,22 +1,25 @@
 """Byte-level BPE by corpus-level merge replay.
 
 The distinct words of a stretch of the corpus are laid out one after another as a linked list of tokens. An inverted index from token pair to the
-positions where it occurs then applies the merges in rank order; each merge touches only its positions and their neighbours.
+positions where it occurs then applies the merges in rank order; each merge touches only its positions and their neighbours. A merge whose
+neighbour makes a pair of a rank that has been passed (no trained vocabulary has one) leaves its word to a linked list and a heap of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.llm.frames import whole_text
-from rulequarry.llm.words import PATTERN, WordCache, stretches
+from rulequarry.llm.words import CHUNK, WordCache, split_chunk, stretches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -32,73 +35,91 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.merged: dict[tuple[int, int], int | None] = {}
-
-    def _pair(self, a: int, b: int) -> int | None:
-        """The rank of the token that two neighbours make, which is also its id."""
-        key = (a, b)
-        if key not in self.merged:
-            if len(self.merged) > 1_000_000:
-                self.merged = {}
-            self.merged[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-        return self.merged[key]
+        self.single = np.array([ranks[bytes((i,))] for i in range(256)], np.int64)
+        self.shift = max(ranks.values()).bit_length()
+        #: The rank of the token that two neighbours make, which is also its id, by the ids of both.
+        self.pairs = {(a << self.shift) | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
+        self.first = np.array([[self.pairs.get(int(a) << self.shift | int(b), -1) for b in self.single] for a in self.single], np.int64)
+
+    def _index(self, data: bytes) -> tuple[list[int], dict[int, list[int]]]:
+        """The tokens of single bytes, -1 for the zero that stands before, between and after words, and the places of each pair, by rank."""
+        codes = np.frombuffer(data, np.uint8)
+        inside = np.ones(len(codes), bool)
+        inside[self._walls] = False
+        rank = np.where(inside[:-1] & inside[1:], self.first[codes[:-1], codes[1:]], -1)
+        at = np.flatnonzero(rank >= 0)
+        at = at[np.argsort(rank[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(rank[at], prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+        places, own = at.tolist(), rank[at].tolist()
+        where = {own[a]: places[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+        return np.where(inside, self.single[codes], -1).tolist(), where
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word. A word that is a token is that token; else the pair of lowest rank merges first, leftmost among equals."""
-        out: list = [None] * len(words)
-        token, left, right, owner, head = [], [], [], [], {}
-        for w, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None or not word:
-                out[w] = [whole] if word else []
-                continue
-            head[w] = len(token)
-            for i, byte in enumerate(word):
-                token.append(self.ranks[bytes((byte,))])
-                left.append(len(token) - 2 if i else -1)
-                right.append(len(token) if i < len(word) - 1 else -1)
-                owner.append(w)
-        where: dict[int, list[int]] = {}
-        for i in range(len(token)):
-            if right[i] >= 0 and (r := self._pair(token[i], token[right[i]])) is not None:
-                where.setdefault(r, []).append(i)
+        out: list = [[whole] if (whole := self.ranks.get(word)) is not None else [] for word in words]
+        open_ = [w for w, word in enumerate(words) if word and not out[w]]
+        if not open_:
+            return out
+        heads = np.cumsum([0, *(len(words[w]) + 1 for w in open_)]) + 1
+        self._walls = heads - 1
+        token, where = self._index(b"\0" + b"\0".join([words[w] for w in open_]) + b"\0")
+        heads = heads[:-1].tolist()
+        left, right = list(range(-1, len(token) - 1)), list(range(1, len(token) + 1))
+        shift, pair, push, pop = self.shift, self.pairs.get, heapq.heappush, heapq.heappop
         ranks = list(where)
         heapq.heapify(ranks)
         alone: set[int] = set()
         while ranks:
-            rank = heapq.heappop(ranks)
+            rank = pop(ranks)
             for i in sorted(where.pop(rank)):
-                j = right[i]
-                if token[i] < 0 or j < 0 or owner[i] in alone or self._pair(token[i], token[j]) != rank:
+                a, j = token[i], right[i]
+                if a < 0 or (b := token[j]) < 0 or pair(a << shift | b) != rank or (alone and bisect.bisect(heads, i) in alone):
                     continue  # an earlier merge took one of the two
                 token[i], token[j] = rank, -1
                 right[i] = k = right[j]
-                if k >= 0:
-                    left[k] = i
-                for x, y in ((left[i], i), (i, k)):
-                    if x >= 0 and y >= 0 and (r := self._pair(token[x], token[y])) is not None:
-                        if r <= rank:  # it comes before what is left of this rank: this word goes on by itself
-                            alone.add(owner[i])
-                        elif r in where:
-                            where[r].append(x)
-                        else:
-                            where[r] = [x]
-                            heapq.heappush(ranks, r)
-        for w, i in head.items():
+                left[k], h = i, left[i]
+                if (c := token[h]) >= 0 and (r := pair(c << shift | rank)) is not None:
+                    if r <= rank:  # it comes before what is left of this rank: this word goes on by itself
+                        alone.add(bisect.bisect(heads, i))
+                    elif (own := where.get(r)) is not None:
+                        own.append(h)
+                    else:
+                        where[r] = [h]
+                        push(ranks, r)
+                if (c := token[k]) >= 0 and (r := pair(rank << shift | c)) is not None:
+                    if r <= rank:
+                        alone.add(bisect.bisect(heads, i))
+                    elif (own := where.get(r)) is not None:
+                        own.append(i)
+                    else:
+                        where[r] = [i]
+                        push(ranks, r)
+        for n, (w, i) in enumerate(zip(open_, heads, strict=True)):
             ids = []
-            while i >= 0:
+            while token[i] >= 0:
                 ids.append(token[i])
                 i = right[i]
-            out[w] = self._finish(ids) if w in alone else ids
+            out[w] = self._finish(ids) if n + 1 in alone else ids
         return out
 
     def _finish(self, ids: list[int]) -> list[int]:
-        while True:
-            ranked = [(r, i) for i in range(len(ids) - 1) if (r := self._pair(ids[i], ids[i + 1])) is not None]
-            if not ranked:
-                return ids
-            rank, i = min(ranked)
-            ids[i : i + 2] = [rank]
+        """The rest of one word: a linked list of its tokens and a heap of its pairs."""
+        n, shift, pair = len(ids), self.shift, self.pairs.get
+        token, left, right = [*ids, -1], [-1, *range(n)], [*range(1, n + 1), n]
+        heap = [(r, i) for i in range(n - 1) if (r := pair(ids[i] << shift | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = right[i]
+            if token[i] < 0 or token[j] < 0 or pair(token[i] << shift | token[j]) != rank:
+                continue
+            token[i], token[j] = rank, -1
+            right[i] = k = right[j]
+            left[k] = i
+            for x in (left[i], i):
+                if x >= 0 and token[right[x]] >= 0 and (r := pair(token[x] << shift | token[right[x]])) is not None:
+                    heapq.heappush(heap, (r, x))
+        return [t for t in token if t >= 0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -107,40 +128,47 @@ class MergeReplay:
 _coders: dict = {}
 
 
-def coder(path: str) -> tuple[MergeReplay, WordCache]:
-    """One of each for a worker process."""
-    if path not in _coders:
-        replay = MergeReplay(read_ranks(path))
+class Coder:
+    """What a worker process keeps for a vocabulary: the ids of distinct words, and of distinct chunks of texts what is joined for a text."""
 
-        def encode(words):
-            ids = replay.encode([w.encode() for w in words])
-            return [(x, ",".join(map(str, x)), len(x)) for x in ids]
+    def __init__(self, path: str):
+        self.replay = MergeReplay(read_ranks(path))
+        self.words = WordCache(lambda words: self.replay.encode([w.encode() for w in words]))
+        self.ids = WordCache(self._chunk_ids)
+        self.told = WordCache(lambda chunks: [(b",".join([b"%d" % i for i in ids]), self.replay.decode(ids)) for ids in self._chunk_ids(chunks)])
 
-        _coders[path] = replay, WordCache(encode)
+    def _chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        words_of = [split_chunk(c) for c in chunks]
+        known = self.words.lookup(words_of)
+        return [known[words[0]] if len(words) == 1 else [i for w in words for i in known[w]] for words in words_of]
+
+
+def coder(path: str) -> Coder:
+    """One for each vocabulary of a worker process."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
     return _coders[path]
 
 
 def encode_texts(texts: list[str], path: str = VOCABULARY) -> list[list[int]]:
     """The ids of each whole text, without special tokens."""
-    _, cache = coder(path)
-    words_of = [PATTERN.findall(t) for t in texts]
-    known = cache.lookup(words_of)
-    return [[i for w in words for i in known[w][0]] for words in words_of]
+    chunks_of = [CHUNK.findall(t) for t in texts]
+    known = coder(path).ids.lookup(chunks_of)
+    return [[i for c in chunks for i in known[c]] for chunks in chunks_of]
 
 
 def _digests(path):
     def run(batches):
-        replay, cache = coder(path)
-        bytes_of = replay.bytes_of
+        cache = coder(path).told
         for batch in batches:
             texts, rows = batch.column("text").to_pylist(), []
             for a, b in stretches(texts):
-                words_of = [PATTERN.findall(t) for t in texts[a:b]]
-                known = cache.lookup(words_of)
-                for words in words_of:
-                    got = list(map(known.__getitem__, words))
-                    decoded = hashlib.sha256(b"".join([bytes_of[i] for x in got for i in x[0]]))
-                    rows.append((sum([x[2] for x in got]), hashlib.sha256(",".join([x[1] for x in got]).encode()).hexdigest(), decoded.hexdigest()))
+                chunks_of = [CHUNK.findall(t) for t in texts[a:b]]
+                known = cache.lookup(chunks_of)
+                for chunks in chunks_of:
+                    told, decoded = zip(*map(known.__getitem__, chunks), strict=True) if chunks else ((), ())
+                    ids = b",".join(told)
+                    rows.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
             n, ids, back = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -151,7 +179,7 @@ def encode_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by commas, ``decoded_sha256`` of the ids decoded again.
 
     A null text is empty and has no tokens. doc_id may be null or repeat; every row gives a row. An empty table gives an empty result, and other
-    columns are ignored. Texts are never cut; a worker holds one Arrow batch and at most 300,000 distinct words. No shuffle.
+    columns are ignored. Texts are never cut; a worker holds one Arrow batch and bounded numbers and bytes of distinct words and chunks. No shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -175,7 +203,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``data``, the bytes behind ``ids``; null ids give null bytes, and an id outside the vocabulary is an error."""
 
     def run(batches):
-        replay, _ = coder(path)
+        replay = coder(path).replay
         for batch in batches:
             data = [None if x is None else replay.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])

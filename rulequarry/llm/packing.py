@@ -8,6 +8,7 @@ fill is cut into exact smaller windows. Sequences of equal length are then dealt
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.llm.frames import whole_text
-from rulequarry.llm.words import PATTERN, WordCache, stretches
+from rulequarry.llm.words import CHUNK, STRETCH, WordCache, split_chunk, stretches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 2048
@@ -28,18 +29,73 @@ END = 1
 #: Tokens that are gathered before they are packed; bounds the memory of a task.
 BUFFER = 2_000_000
 
-_caches: dict = {}
+#: Words that are encoded by one call.
+JOINED = 10_000
 
+_coders: dict = {}
 
-def token_cache(path: str) -> WordCache:
-    """Words as little-endian 32-bit ids, encoded by the tokenizers library. A word of PATTERN is one unit to it in any surroundings."""
-    if path not in _caches:
+
+class Coder:
+    """The tokenizers library for a worker process, with the little-endian 32-bit ids of each distinct chunk of texts (see words.CHUNK) that it has met.
+
+    ``added``: a literal added token of the vocabulary in a text is that token, as the library does of itself; else it is text like any other.
+    """
+
+    def __init__(self, path: str, added: bool):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _caches[path] = WordCache(lambda words: [np.array(e.ids, "<u4").tobytes() for i in range(0, len(words), 10_000) for e in t.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)])
-    return _caches[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not added
+        self.words, self.cache = WordCache(self._word_ids), WordCache(self._chunk_ids)
+        self.break_ = self._ids("\n")
+        tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("added tokens that take in white space or whole words only are not supported")
+        self.literals = {t.content for t in tokens}
+        self.literal = re.compile(f"({'|'.join(map(re.escape, sorted(self.literals, key=lambda t: (-len(t), t))))})") if tokens else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Words are encoded many at a time, with a line break before each; the ids between the breaks are theirs."""
+        out: dict[str, bytes] = {w: self._ids(w).tobytes() for w in words if w.isspace()}
+        rest, at = [w for w in words if w not in out], 0
+        while at < len(rest):
+            size, end = 0, at
+            while end < len(rest) and end - at < JOINED and size < STRETCH:
+                size, end = size + len(rest[end]), end + 1
+            own, at = rest[at:end], end
+            ids = self._ids("".join([f"\n{w}" for w in own]))
+            cuts = np.append(np.flatnonzero(ids == self.break_[0]), len(ids)).tolist()
+            if len(self.break_) == 1 and len(cuts) == len(own) + 1:
+                data = ids.tobytes()
+                out.update((w, data[4 * (a + 1) : 4 * b]) for w, a, b in zip(own, cuts[:-1], cuts[1:], strict=True))
+            else:  # a vocabulary in which a line break is no token of its own
+                out.update((w, self._ids(w).tobytes()) for w in own)
+        return [out[w] for w in words]
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        words_of = [[c] if c in self.literals else split_chunk(c) for c in chunks]
+        known = self.words.lookup(words_of)
+        return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in words_of]
+
+    def chunks(self, text: str) -> list[str]:
+        if self.literal is None or not self.literal.search(text):
+            return CHUNK.findall(text)
+        parts = self.literal.split(text)  # texts and literals by turns
+        return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else CHUNK.findall(part))]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        chunks_of = [self.chunks(t) for t in texts]
+        known = self.cache.lookup(chunks_of)
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunks_of]
+
+
+def coder(path: str, added: bool) -> Coder:
+    if (path, added) not in _coders:
+        _coders[path, added] = Coder(path, added)
+    return _coders[path, added]
 
 
 def pack(sizes: list[int], window: int = WINDOW, tiers: tuple = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -124,9 +180,9 @@ def pack(sizes: list[int], window: int = WINDOW, tiers: tuple = TIERS) -> list[l
     return out
 
 
-def _pack_rows(path, window, tiers, buffer, groups):
+def _pack_rows(path, added, window, tiers, buffer, groups):
     def run(batches):
-        cache, base, done = token_cache(path), TaskContext.get().partitionId() << 33, 0
+        own, base, done = coder(path, added), TaskContext.get().partitionId() << 33, 0
         ids, data = [], []
 
         def flush():
@@ -147,10 +203,8 @@ def _pack_rows(path, window, tiers, buffer, groups):
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in stretches(texts):
-                words_of = [PATTERN.findall(t) for t in texts[a:b]]
-                known = cache.lookup(words_of)
-                for key, words in zip(keys[a:b], words_of, strict=True):
-                    data.append(b"".join(map(known.__getitem__, words)) + end)
+                for key, found in zip(keys[a:b], own.encode(texts[a:b]), strict=True):
+                    data.append(found + end)
                     ids.append(key)
                     tokens += len(data[-1]) // 4
                 if tokens >= buffer:
@@ -165,15 +219,16 @@ def _pack_rows(path, window, tiers, buffer, groups):
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
 
 
-def pack_documents(docs: DataFrame, *, path: str = VOCABULARY, window: int = WINDOW, tiers: tuple = TIERS, buffer: int = BUFFER, groups: int = 8) -> DataFrame:
+def pack_documents(docs: DataFrame, *, path: str = VOCABULARY, window: int = WINDOW, tiers: tuple = TIERS, buffer: int = BUFFER, groups: int = 8, added: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, step_group``.
 
     Each task packs the documents that it reads, ``buffer`` tokens at a time, so there is no shuffle and a document of any length is held
     by one task as its ids only. A sequence is ``window`` long or exactly a power of two. ``step_group`` deals sequences in order of tier,
     so groups get equally many of each length. A null text is empty and is its end token alone. Rows without
-    doc_id, or with the same one, are documents of their own; an empty table gives no pieces; other columns are ignored.
+    doc_id, or with the same one, are documents of their own; an empty table gives no pieces; other columns are ignored. ``added``: the string
+    of an added token (``<|endoftext|>``) in a text is that token, as the tokenizers library reads it of itself; else it is ordinary text.
     """
     if sorted(tiers, reverse=True) != list(tiers) or tiers[0] != window or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are powers of two from the window down")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text"))
-    return rows.mapInArrow(_pack_rows(path, window, tiers, buffer, groups), ", ".join(f"{n} long" for n in NAMES))
+    return rows.mapInArrow(_pack_rows(path, added, window, tiers, buffer, groups), ", ".join(f"{n} long" for n in NAMES))

@@ -59,7 +59,7 @@ def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), added=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

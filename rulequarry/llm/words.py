@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: The characters of Unicode's White_Space property, which ``\s`` of the pattern matches.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Stretches of a text between which the pattern always cuts: no alternative goes from a character that isn't white space to white space, and a run
+#: of white space gives up its last character, if that is a space, to what follows. The matches of the pattern in a chunk are those in the text.
+CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+def split_chunk(chunk: str) -> list[str]:
+    """The matches of the pattern in a chunk; one of letters after a space or none is a match as a whole."""
+    return [chunk] if (chunk[1:] if chunk[0] == " " else chunk).isalpha() else PATTERN.findall(chunk)
 
 
 class WordCache:
-    """Maps each word to what ``encode(list of new words)`` gives for it; holds at most ``most`` words and starts anew beyond."""
+    """Maps each word to what ``encode(list of new words)`` gives for it.
+
+    Words are held in two generations of at most ``most`` words and ``room`` characters each (or those of one lookup, if these are more). When the newer
+    one is full it becomes the older one; words that are looked up again move over, so that common words stay and rare ones go.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000, room: int = 1 << 24):
+        self.encode, self.most, self.room = encode, most, room
+        self.known, self.before, self.size = {}, {}, 0
 
     def lookup(self, words_of: list[list[str]]) -> dict:
         """A mapping that holds every word of the given lists."""
-        new = set()
-        for words in words_of:
-            new.update(words)
-        new -= self.known.keys()
+        every, known = set().union(*words_of), self.known
+        new = [w for w in every if w not in known]
         if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-                new = set().union(*words_of)
-            new = list(new)
-            self.known.update(zip(new, self.encode(new), strict=True))
+            size = sum(map(len, new))
+            if len(known) + len(new) > self.most or self.size + size > self.room:
+                self.before, self.known, self.size, new, size = known, {}, 0, list(every), sum(map(len, every))
+            before = self.before
+            self.known.update([(w, before[w]) for w in new if w in before])
+            new = [w for w in new if w not in before]
+            if new:
+                self.known.update(zip(new, self.encode(new), strict=True))
+            self.size += size
         return self.known
 
 
