@@ -139,8 +139,7 @@ class Coder:
 
     def _chunk_ids(self, chunks: list[str]) -> list[list[int]]:
         words_of = [split_chunk(c) for c in chunks]
-        known = self.words.lookup(words_of)
-        return [known[words[0]] if len(words) == 1 else [i for w in words for i in known[w]] for words in words_of]
+        return [own[0] if len(own) == 1 else [i for ids in own for i in ids] for own in self.words.values(words_of)]
 
 
 def coder(path: str) -> Coder:
@@ -153,8 +152,7 @@ def coder(path: str) -> Coder:
 def encode_texts(texts: list[str], path: str = VOCABULARY) -> list[list[int]]:
     """The ids of each whole text, without special tokens."""
     chunks_of = [CHUNK.findall(t) for t in texts]
-    known = coder(path).ids.lookup(chunks_of)
-    return [[i for c in chunks for i in known[c]] for chunks in chunks_of]
+    return [[i for ids in values for i in ids] for values in coder(path).ids.values(chunks_of)]
 
 
 def _digests(path):
@@ -164,9 +162,8 @@ def _digests(path):
             texts, rows = batch.column("text").to_pylist(), []
             for a, b in stretches(texts):
                 chunks_of = [CHUNK.findall(t) for t in texts[a:b]]
-                known = cache.lookup(chunks_of)
-                for chunks in chunks_of:
-                    told, decoded = zip(*map(known.__getitem__, chunks), strict=True) if chunks else ((), ())
+                for values in cache.values(chunks_of):
+                    told, decoded = zip(*values, strict=True) if values else ((), ())
                     ids = b",".join(told)
                     rows.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
             n, ids, back = zip(*rows, strict=True) if rows else ([], [], [])

@@ -29,8 +29,9 @@ END = 1
 #: Tokens that are gathered before they are packed; bounds the memory of a task.
 BUFFER = 2_000_000
 
-#: Words that are encoded by one call.
+#: Words that are encoded by one call, and characters of the texts that are split at a time: what is at hand then stays in a processor's cache.
 JOINED = 10_000
+NEAR = 1 << 17
 
 _coders: dict = {}
 
@@ -77,8 +78,7 @@ class Coder:
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         words_of = [[c] if c in self.literals else split_chunk(c) for c in chunks]
-        known = self.words.lookup(words_of)
-        return [known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for words in words_of]
+        return list(map(b"".join, self.words.values(words_of)))
 
     def chunks(self, text: str) -> list[str]:
         if self.literal is None or not self.literal.search(text):
@@ -87,9 +87,7 @@ class Coder:
         return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else CHUNK.findall(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks_of = [self.chunks(t) for t in texts]
-        known = self.cache.lookup(chunks_of)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in chunks_of]
+        return list(map(b"".join, self.cache.values([self.chunks(t) for t in texts])))
 
 
 def coder(path: str, added: bool) -> Coder:
@@ -202,7 +200,7 @@ def _pack_rows(path, added, window, tiers, buffer, groups):
         tokens, end = 0, np.array([END], "<u4").tobytes()
         for batch in batches:
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in stretches(texts):
+            for a, b in stretches(texts, NEAR):
                 for key, found in zip(keys[a:b], own.encode(texts[a:b]), strict=True):
                     data.append(found + end)
                     ids.append(key)
