@@ -147,13 +147,21 @@ def case_on_bare_arg(facts: Facts, matched: DataFrame, scratch: Scratch, compat:
 def no_comparison_in_if(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
     tests = with_child(facts.tree.where("form = 'if' and kind = 'call' and arg_count = 2").select("path", "pre", "line"), facts.tree, "test", 0)
     compared = facts.tree.where(F.col("form").isin(*COMPARISONS) & (F.col("arg_count") == 2)).select("path", F.col("pre").alias("at"))
-    compared = compared.withColumnRenamed("path", "_path")
-    hit = tests.join(compared, (F.col("path") == F.col("_path")) & F.col("at").between(F.col("test_pre"), F.col("test_last")), "left_semi")
+    hit = within(tests, compared, "test_pre", "test_last", "at", "left_semi")
     found = matched.select("rule_id", "path").join(hit.select("path", "line"), "path")
     text = F.lit("Avoid direct comparisons in `if` statements. Extract the comparison to a function in the appropriate module with a descriptive name.")
     return issue(found, "no_comparison_in_if", "readability", "line", F.lit("if"), text)
 
 
+def _behind_guards(tree: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, pattern_pre, plain``: what stands before any number of nested guards. A node's first child has the next number, so of a guard it is the
+    next node that isn't one itself."""
+    guard = F.coalesce((F.col("form") == "when") & (F.col("kind") == "call"), F.lit(False))
+    paths = found.where("pattern_form = 'when' and pattern_kind = 'call'").select("path").distinct()
+    plain = F.last(F.when(~guard, F.struct("form", "kind")), ignorenulls=True).over(Window.partitionBy("path").orderBy(F.desc("pre")))
+    return tree.join(paths, "path", "left_semi").withColumn("plain", plain).where(guard).select("path", F.col("pre").alias("pattern_pre"), "plain")
+
+
 def no_discarding_arrow_in_with(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
     tree = facts.tree
     withs = tree.where("form = 'with' and kind = 'call' and arg_count >= 2").select("path", "pre")
@@ -163,10 +171,8 @@ def no_discarding_arrow_in_with(facts: Facts, matched: DataFrame, scratch: Scrat
     arrow = children(tree.where("form = '<-' and kind = 'call' and arg_count = 2"), "arrow").withColumnRenamed("arrow_parent", "pre")
     found = withs.join(dos, ["path", "pre"]).join(arrow, ["path", "pre"]).where("arrow_ord < do_ord")
     found = with_child(found, tree, "pattern", 0, "arrow_pre")
-    for i in range(3):  # patterns behind guards, and guards in guards
-        found = with_child(found, tree, f"inner{i}", 0, "pattern_pre", "left")
-        guard = (F.col("pattern_form") == "when") & (F.col("pattern_kind") == "call")
-        found = found.withColumns({f"pattern_{c}": F.when(guard, F.col(f"inner{i}_{c}")).otherwise(F.col(f"pattern_{c}")) for c in ("form", "kind", "pre")})
+    found = found.join(_behind_guards(tree, found), ["path", "pattern_pre"], "left")
+    found = found.withColumns({f"pattern_{c}": F.when(F.col("plain").isNotNull(), F.col(f"plain.{c}")).otherwise(F.col(f"pattern_{c}")) for c in ("form", "kind")})
     kinds = ("var", "call") if compat.underscore else ("var",)
     found = found.where(F.col("pattern_kind").isin(*kinds) & F.col("pattern_form").startswith("_"))
     found = found.join(matched.select("path").distinct(), "path", "left_semi")

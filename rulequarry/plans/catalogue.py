@@ -392,3 +392,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from rulequarry.plans import source_queries  # noqa: E402, F401  it adds its queries to these

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.operators.checks import ISSUES, REGISTRY, Compat
@@ -12,8 +12,20 @@ from rulequarry.operators.facts import Facts
 from rulequarry.session import Scratch, ship
 from rulequarry.sources.config import ConfigError, Rule, discover, rules_table
 
-#: Rules are configuration; beyond this number their table is joined without a broadcast.
+#: Rules are configuration; beyond this number their table is joined without a broadcast. Up to the other number their patterns are literals of one
+#: projection, compiled once; more would make a plan too large, and are told by a join. The result is the same.
 BROADCAST_RULES = 10_000
+LITERAL_RULES = 256
+
+
+def _holding(df: DataFrame, small: DataFrame, n_rules: int, column: str, pattern: str) -> DataFrame:
+    """Rows of ``df`` beside the rules of which a pattern (an array or one) holds for ``column``."""
+    if n_rules > LITERAL_RULES:
+        return df.join(small, F.expr(f"exists({pattern}, r -> {column} rlike r)" if pattern == "path_regexes" else f"{column} rlike {pattern}"))
+    own = [(r.rule_id, x if isinstance(x, list) else [x]) for r in small.select("rule_id", F.col(pattern).alias("x")).collect() if (x := r.x)]
+    marks = [F.when(reduce(Column.__or__, [F.col(column).rlike(x) for x in regexes]), F.lit(i)) for i, regexes in own]
+    held = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<int>")
+    return df.withColumn("rule_id", F.explode(held)).join(small, "rule_id").select(*df.columns, *small.columns)
 
 
 def match_rules(rules: DataFrame, facts: Facts, n_rules: int, compat: Compat = Compat()) -> DataFrame:
@@ -23,11 +35,11 @@ def match_rules(rules: DataFrame, facts: Facts, n_rules: int, compat: Compat = C
     """
     small = F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules
     files = facts.files.select("path")
-    by_path = files.join(small, F.expr("exists(path_regexes, r -> path rlike r)"))
+    by_path = _holding(files, small, n_rules, "path", "path_regexes")
     if compat.selectors:
         return by_path
     rest = small.where(F.size("paths") == 0)
-    by_module = facts.modules.select("path", "module").join(rest.where("module_regex is not null"), F.expr("module rlike module_regex")).drop("module")
+    by_module = _holding(facts.modules.select("path", "module"), rest.where("module_regex is not null"), n_rules, "module", "module_regex").drop("module")
     by_use = facts.uses.join(rest.where("module_regex is null"), F.col("used") == F.col("uses_module")).drop("used")
     return by_path.unionByName(by_module).unionByName(by_use)
 
