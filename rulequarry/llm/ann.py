@@ -183,7 +183,7 @@ def nearest_neighbours(
     entries = entries.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
     entries = scratch.keep(entries.withColumn("number", F.monotonically_increasing_id()))
     asked = read(queries).mapInArrow(_keys, "id long, key binary").distinct()
-    asked = scratch.keep(asked.join(entries.select("key", "number"), "key", "left").select(F.col("id").alias("query_id"), "key", "number"))
+    asked = scratch.keep(asked.select(F.col("id").alias("query_id"), "key"))
 
     sample = [np.frombuffer(r.key, "<f8") for r in entries.select("key").orderBy(F.xxhash64("key"), "key").limit(fit_rows).collect()]
     empty = "query_id long, rank int, vec_id long, score double"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag; what they hold is never main text.
@@ -40,18 +41,40 @@ class Node:
         return {m[1].lower(): html.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in reversed(list(_ATTR.finditer(self.attrs)))}
 
 
-def _language(node: Node) -> Node:
-    """The nearest element, from the node upward, that decides whether tags are HTML or of another language."""
-    while node.parent is not None and node.tag not in FOREIGN and node.tag not in POINTS and node.tag not in BLOCK:
-        node = node.parent
-    return node
-
-
 def parse(source: str) -> Node:
-    """The root of the tree; children are nodes and strings whose character references are decoded. Any input gives a tree."""
+    """The root of the tree; children are nodes and strings whose character references are decoded. Any input gives a tree.
+
+    What is open is counted, so that an end tag without its start tag costs no climb: by name, and for inline elements by the block that they are in.
+    """
     root = here = Node("#root")
     at, end = 0, len(source)
-    depth, drawn = 0, False
+    opened: Counter = Counter()
+    inline = [Counter()]
+    deciding = [root]  # the elements, from the root down, that decide whether tags are HTML or of another language
+
+    def put(node: Node) -> None:
+        nonlocal here
+        here = node
+        opened[node.tag] += 1
+        if node.tag in BLOCK:
+            inline.append(Counter())
+        else:
+            inline[-1][node.tag] += 1
+        if node.tag in BLOCK or node.tag in FOREIGN or node.tag in POINTS:
+            deciding.append(node)
+
+    def close(upto: Node) -> None:
+        nonlocal here
+        while here is not upto:
+            opened[here.tag] -= 1
+            if here.tag in BLOCK:
+                inline.pop()
+            else:
+                inline[-1][here.tag] -= 1
+            if deciding[-1] is here:
+                deciding.pop()
+            here = here.parent
+
     while at < end:
         lt = source.find("<", at)
         if lt < 0:
@@ -70,42 +93,37 @@ def parse(source: str) -> Node:
         if not name or not m["end"]:  # a comment, a declaration, or a tag that the page ends in
             continue
         if m["close"]:
-            node = here
-            while node is not root and node.tag != name:
-                if name not in BLOCK and node.tag in BLOCK:  # an inline end tag doesn't close a block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                here = node.parent
-                depth -= 1
+            if opened[name] if name in BLOCK else inline[-1][name]:  # an inline end tag doesn't close a block
+                node = here
+                while node.tag != name:
+                    node = node.parent
+                close(node.parent)
             continue
-        foreign = _language(here) if drawn else root
-        while foreign.tag in FOREIGN and name in BLOCK:  # it was never closed
-            here = foreign.parent
-            foreign = _language(here)
-        if name in RAW and not (foreign.tag in FOREIGN and m["attrs"].rstrip().endswith("/")):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
-            at = close.end() if close else end
+        while deciding[-1].tag in FOREIGN and name in BLOCK:  # it was never closed
+            close(deciding[-1].parent)
+        if name in RAW and not (deciding[-1].tag in FOREIGN and m["attrs"].rstrip().endswith("/")):
+            shut = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
+            at = shut.end() if shut else end
             here.children.append(Node(name, m["attrs"], here))
             continue
         if name in CLOSES:
             tags, fence = CLOSES[name]
-            node = here
-            while node is not root and node.tag not in fence:
-                if node.tag in tags:
-                    here = node.parent
-                node = node.parent
-        elif name in BLOCK:
+            node, upto = here, here
+            if any(opened[t] for t in tags):
+                while node is not root and node.tag not in fence:
+                    if node.tag in tags:
+                        upto = node.parent
+                    node = node.parent
+            close(upto)
+        elif name in BLOCK and (opened["p"] or (name in HEADINGS and any(opened[h] for h in HEADINGS))):
             node = here
             while node is not root and node.tag not in P_FENCE:
                 if node.tag == "p" or (node.tag in HEADINGS and name in HEADINGS):
-                    here = node.parent
+                    close(node.parent)
                     break
                 node = node.parent
         child = Node(name, m["attrs"], here)
         here.children.append(child)
         if name not in VOID and not (m["attrs"].rstrip().endswith("/") and name not in BLOCK):
-            here = child
-            drawn = drawn or name in FOREIGN
+            put(child)
     return root

@@ -6,6 +6,7 @@ ranked one is removed. Offsets of the original text are kept for what is removed
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -104,9 +105,10 @@ def drop_units(docs: DataFrame, scratch: Scratch, *, unit: str = "line") -> Data
     @F.pandas_udf("string")
     def cut(text, removed):
         def one(t, spans):
-            starts, out, at = dict(split_units(t, unit)), [], 0
+            own, out, at = split_units(t, unit), [], 0
             for s, e in ((x["s"], x["e"]) for x in spans):
-                before = max((end for start, end in starts.items() if start < s), default=s)  # the separator goes as well
+                place = bisect.bisect_left(own, (s,))
+                before = own[place - 1][1] if place else s  # the separator goes as well
                 out.append(t[at:before])
                 at = e
             return "".join([*out, t[at:]])
