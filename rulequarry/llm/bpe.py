@@ -19,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.llm.frames import whole_text
-from rulequarry.llm.words import CHUNK, WordCache, split_chunk, stretches
+from rulequarry.llm.words import PATTERN, WordCache, stretches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: Words of a generation of a cache.
+KNOWN = 600_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -129,17 +133,15 @@ _coders: dict = {}
 
 
 class Coder:
-    """What a worker process keeps for a vocabulary: the ids of distinct words, and of distinct chunks of texts what is joined for a text."""
+    """What a worker process keeps for a vocabulary: of distinct words, their ids, or what is joined for a text."""
 
     def __init__(self, path: str):
         self.replay = MergeReplay(read_ranks(path))
-        self.words = WordCache(lambda words: self.replay.encode([w.encode() for w in words]))
-        self.ids = WordCache(self._chunk_ids)
-        self.told = WordCache(lambda chunks: [(b",".join([b"%d" % i for i in ids]), self.replay.decode(ids)) for ids in self._chunk_ids(chunks)])
+        self.ids = WordCache(self._encode, KNOWN)
+        self.told = WordCache(lambda words: [(b",".join([b"%d" % i for i in ids]), self.replay.decode(ids)) for ids in self._encode(words)], KNOWN)
 
-    def _chunk_ids(self, chunks: list[str]) -> list[list[int]]:
-        words_of = [split_chunk(c) for c in chunks]
-        return [own[0] if len(own) == 1 else [i for ids in own for i in ids] for own in self.words.values(words_of)]
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return self.replay.encode([w.encode() for w in words])
 
 
 def coder(path: str) -> Coder:
@@ -151,8 +153,7 @@ def coder(path: str) -> Coder:
 
 def encode_texts(texts: list[str], path: str = VOCABULARY) -> list[list[int]]:
     """The ids of each whole text, without special tokens."""
-    chunks_of = [CHUNK.findall(t) for t in texts]
-    return [[i for ids in values for i in ids] for values in coder(path).ids.values(chunks_of)]
+    return [[i for ids in values for i in ids] for values in coder(path).ids.values([PATTERN.findall(t) for t in texts])]
 
 
 def _digests(path):
@@ -161,8 +162,7 @@ def _digests(path):
         for batch in batches:
             texts, rows = batch.column("text").to_pylist(), []
             for a, b in stretches(texts):
-                chunks_of = [CHUNK.findall(t) for t in texts[a:b]]
-                for values in cache.values(chunks_of):
+                for values in cache.values([PATTERN.findall(t) for t in texts[a:b]]):
                     told, decoded = zip(*values, strict=True) if values else ((), ())
                     ids = b",".join(told)
                     rows.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()))
@@ -176,7 +176,7 @@ def encode_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, ``ids_sha256`` of the decimal ids joined by commas, ``decoded_sha256`` of the ids decoded again.
 
     A null text is empty and has no tokens. doc_id may be null or repeat; every row gives a row. An empty table gives an empty result, and other
-    columns are ignored. Texts are never cut; a worker holds one Arrow batch and bounded numbers and bytes of distinct words and chunks. No shuffle.
+    columns are ignored. Texts are never cut; a worker holds one Arrow batch and bounded numbers and bytes of distinct words. No shuffle.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulequarry.llm.frames import whole_text
-from rulequarry.llm.words import CHUNK, STRETCH, WordCache, split_chunk, stretches
+from rulequarry.llm.words import PATTERN, STRETCH, WordCache, stretches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 2048
@@ -32,12 +32,14 @@ BUFFER = 2_000_000
 #: Words that are encoded by one call, and characters of the texts that are split at a time: what is at hand then stays in a processor's cache.
 JOINED = 10_000
 NEAR = 1 << 17
+#: Words of a generation of the cache; of fewer, many common ones are encoded again and again.
+KNOWN = 600_000
 
 _coders: dict = {}
 
 
 class Coder:
-    """The tokenizers library for a worker process, with the little-endian 32-bit ids of each distinct chunk of texts (see words.CHUNK) that it has met.
+    """The tokenizers library for a worker process, with the little-endian 32-bit ids of each distinct word of the pattern that it has met.
 
     ``added``: a literal added token of the vocabulary in a text is that token, as the library does of itself; else it is text like any other.
     """
@@ -47,7 +49,7 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added
-        self.words, self.cache = WordCache(self._word_ids), WordCache(self._chunk_ids)
+        self.cache = WordCache(self._word_ids, KNOWN)
         self.break_ = self._ids("\n")
         tokens = [t for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
         if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
@@ -76,18 +78,15 @@ class Coder:
                 out.update((w, self._ids(w).tobytes()) for w in own)
         return [out[w] for w in words]
 
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        words_of = [[c] if c in self.literals else split_chunk(c) for c in chunks]
-        return list(map(b"".join, self.words.values(words_of)))
-
-    def chunks(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """A word is one unit to the tokenizer in any surroundings."""
         if self.literal is None or not self.literal.search(text):
-            return CHUNK.findall(text)
+            return PATTERN.findall(text)
         parts = self.literal.split(text)  # texts and literals by turns
-        return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else CHUNK.findall(part))]
+        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else PATTERN.findall(part))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return list(map(b"".join, self.cache.values([self.chunks(t) for t in texts])))
+        return list(map(b"".join, self.cache.values([self.words(t) for t in texts])))
 
 
 def coder(path: str, added: bool) -> Coder:

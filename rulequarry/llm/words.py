@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import public_tokenizers
 import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
-#: The characters of Unicode's White_Space property, which ``\s`` of the pattern matches.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Stretches of a text between which the pattern always cuts: no alternative goes from a character that isn't white space to white space, and a run
-#: of white space gives up its last character, if that is a space, to what follows. The matches of the pattern in a chunk are those in the text.
-CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-
-
-def split_chunk(chunk: str) -> list[str]:
-    """The matches of the pattern in a chunk; one of letters after a space or none is a match as a whole."""
-    return [chunk] if (chunk[1:] if chunk[0] == " " else chunk).isalpha() else PATTERN.findall(chunk)
-
 
 class WordCache:
     """Maps each word to what ``encode(list of new words)`` gives for it.
