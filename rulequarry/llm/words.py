@@ -9,6 +9,7 @@ import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
+
 class WordCache:
     """Maps each word to what ``encode(list of new words)`` gives for it.
 
