@@ -34,13 +34,6 @@ def test_many_rules_are_joined(spark, monkeypatch):
     assert sorted(source_queries.rule_selection(spark, DATA).collect()) == want
 
 
-def test_a_chain_beyond_64_modules(spark):
-    files = [(f"lib/m{i}.ex", f"defmodule M{i} do\n  alias M{i + 1}\nend") for i in range(70)]
-    rules = [Rule("no_transitive_dependency", paths=["lib/m0.ex"], forbidden_modules=["M70"])]
-    got = run_checks(spark.createDataFrame(files, "path string, source string"), rules).collect()
-    assert [r.message.count(" -> ") for r in got] == [70] and got[0].line_no == 2
-
-
 def test_guards_of_any_depth(spark):
     deep = "_x"
     for _ in range(30):
