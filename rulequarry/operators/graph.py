@@ -9,13 +9,55 @@ from pyspark.sql import functions as F
 from rulequarry.session import Scratch
 
 
+#: Edges, and bytes of their names, up to which each task gets all of them. They change how the work is dealt and not the result.
+EDGES = 200_000
+BYTES = 16 << 20
+_PLAIN = {"string": str, "tinyint": int, "smallint": int, "int": int, "bigint": int}
+
+
+def _walk(edges):
+    """All pairs of each start, by a search that sees each node once."""
+
+    def run(batches):
+        after: dict = {}
+        for a, b in edges.value:
+            after.setdefault(a, []).append(b)
+        for batch in batches:
+            kinds = batch.schema.types
+            for start in batch.column("start").to_pylist():
+                seen, todo = {start}, [start]
+                while todo:
+                    new = [x for x in after.get(todo.pop(), ()) if x not in seen]
+                    seen.update(new)
+                    todo += new
+                nodes = pa.array(list(seen), kinds[1])
+                yield pa.RecordBatch.from_arrays([pa.array([start] * len(seen), kinds[0]), nodes], ["start", "node"])
+
+    return run
+
+
+def _few(edges: DataFrame) -> bool:
+    """Whether the edges are within the bounds."""
+    size = sum((F.octet_length(F.col(c).cast("string")) for c in ("src", "dst")), F.lit(0))
+    held = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return held["n"] <= EDGES and held["bytes"] <= BYTES
+
+
 def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``start, node``: all nodes reachable from each row of ``starts(start)``, itself included; cycles end, unknown nodes are leaves.
+    """``start, node``: all nodes reachable from each row of ``starts(start)``, itself included; cycles end, unknown nodes are leaves, nulls take no part.
 
-    A frontier loop: each round joins only the pairs that are new, and writes them, so a lost executor costs one round.
+    Up to EDGES edges are sent to every task, which walks from its starts; so paths of any length take one pass. More edges are joined in a frontier
+    loop: each round joins only the pairs that are new, and writes them, so a lost executor costs one round. Both give the same pairs.
     """
-    edges = scratch.keep(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    edges = scratch.keep(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
     seen = scratch.keep(starts.where("start is not null").select("start", F.col("start").alias("node")).distinct())
+    plain = {_PLAIN.get(kind) for _, kind in edges.dtypes + seen.dtypes}
+    if len(plain) == 1 and None not in plain and _few(edges):
+        spark = scratch.spark
+        sent = spark.sparkContext.broadcast([tuple(r) for r in edges.collect()])
+        kind = dict(seen.union(edges).dtypes)["node"]  # the wider one
+        asked = seen.withColumn("node", F.col("node").cast(kind)).repartition(spark.sparkContext.defaultParallelism, "start")
+        return scratch.keep(asked.mapInArrow(_walk(sent), asked.schema))
     new = seen
     while True:
         step = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
@@ -50,13 +92,15 @@ def _search():
     return run
 
 
-def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, *, forward: DataFrame | None = None) -> DataFrame:
     """``start, target, path``: the lexicographically first simple path, which is what depth-first search over sorted neighbours finds.
 
     Only nodes that the start reaches and that reach the target are searched, each once and in one task for a pair, so paths may have any length.
+    ``forward``: the closure of all starts of ``pairs`` over ``edges``, if the caller has it already.
     """
     pairs = pairs.distinct()
-    forward = transitive_closure(edges, pairs.select("start").distinct(), scratch)
+    if forward is None:
+        forward = transitive_closure(edges, pairs.select("start").distinct(), scratch)
     back = transitive_closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("start")).distinct(), scratch)
     useful = forward.join(pairs, "start").join(back.select(F.col("start").alias("target"), "node"), ["target", "node"])
     useful = scratch.keep(useful.select("start", "target", "node").distinct())

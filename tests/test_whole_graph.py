@@ -4,7 +4,9 @@ import pytest
 
 from rulequarry.operators import graph
 from rulequarry.plans import catalogue
+from rulequarry.plans.engine import run_checks
 from rulequarry.session import Scratch
+from rulequarry.sources.config import Rule
 
 
 def reach(edges, start):
@@ -70,3 +72,29 @@ def test_long_path_among_many(spark):
     pairs = spark.createDataFrame([(0, 60)], "start long, target long")
     got = graph.first_paths(spark.createDataFrame(rows, "src long, dst long"), pairs, Scratch(spark, "test")).collect()
     assert [r.path for r in got] == [sorted({x for i in range(0, 60, 3) for x in (i, i + 1)} | {60})]
+
+
+@pytest.mark.parametrize("kind, name", [("string", "m{:03}".format), ("int", int)])
+def test_both_ways_of_the_closure(spark, monkeypatch, kind, name):
+    rng = random.Random(2)
+    rows = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    edges = spark.createDataFrame([(name(a), name(b)) for a, b in rows] + [(None, name(1)), (name(1), None)], f"src {kind}, dst {kind}")
+    starts = spark.createDataFrame([(name(a),) for a in (0, 3, 3, 77)] + [(None,)], f"start {kind}")
+    after = {}
+    for a, b in rows:
+        after.setdefault(name(a), set()).add(name(b))
+    want = sorted((name(s), x) for s in (0, 3, 77) for x in reach(after, name(s)))
+    for most in (graph.EDGES, 0):
+        monkeypatch.setattr(graph, "EDGES", most)
+        assert sorted(tuple(r) for r in graph.transitive_closure(edges, starts, Scratch(spark, "test")).collect()) == want
+    empty = spark.createDataFrame([], edges.schema)
+    assert not graph.transitive_closure(edges, spark.createDataFrame([], starts.schema), Scratch(spark, "test")).count()
+    assert sorted(r.node for r in graph.transitive_closure(empty, starts, Scratch(spark, "test")).collect()) == sorted(map(name, (0, 3, 77)))
+
+
+def test_chain_of_modules(spark):
+    n = 200
+    files = [(f"lib/m{i:03}.ex", f"defmodule M{i:03} do\n  alias M{i + 1:03}\n  def f(x), do: M{i + 1:03}.f(x)\nend") for i in range(n)]
+    rule = Rule("no_transitive_dependency", paths=["lib/m000.ex"], forbidden_modules=[f"M{n - 1:03}"])
+    issues = run_checks(spark.createDataFrame(files, "path string, source string"), [rule]).collect()
+    assert len(issues) == 1 and " -> ".join(f"M{i:03}" for i in range(n)) in issues[0].message
