@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulequarry.functions.patterns import is_code_line
-from rulequarry.operators.facts import Facts, children, with_child
+from rulequarry.operators.facts import Facts, below, children, with_child
 from rulequarry.operators.graph import chain_text, first_paths, transitive_closure
 from rulequarry.session import Scratch
 
@@ -136,7 +136,7 @@ def bare_cases(clauses: DataFrame, bare_args: DataFrame, cases: DataFrame) -> Da
 
 
 def case_on_bare_arg(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
-    cases = with_child(facts.tree.where("form = 'case' and kind = 'call' and arg_count = 2").select("path", "pre", "line"), facts.tree, "subject", 0)
+    cases = with_child(facts.tree.where("form = 'case' and kind = 'call' and arg_count = 2").select("path", "pre", "line"), facts.tree, "subject", 0, where="up_form = 'case'")
     cases = cases.where("subject_kind = 'var'").select("path", F.col("pre").alias("at"), "line", F.col("subject_form").alias("arg"))
     found = bare_cases(facts.clauses.select("path", "pre", "name", "body_pre", "body_last"), facts.bare_args, cases)
     found = found.join(matched.select("path").distinct(), "path", "left_semi")
@@ -145,7 +145,7 @@ def case_on_bare_arg(facts: Facts, matched: DataFrame, scratch: Scratch, compat:
 
 
 def no_comparison_in_if(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
-    tests = with_child(facts.tree.where("form = 'if' and kind = 'call' and arg_count = 2").select("path", "pre", "line"), facts.tree, "test", 0)
+    tests = with_child(facts.tree.where("form = 'if' and kind = 'call' and arg_count = 2").select("path", "pre", "line"), facts.tree, "test", 0, where="up_form = 'if'")
     compared = facts.tree.where(F.col("form").isin(*COMPARISONS) & (F.col("arg_count") == 2)).select("path", F.col("pre").alias("at"))
     hit = within(tests, compared, "test_pre", "test_last", "at", "left_semi")
     found = matched.select("rule_id", "path").join(hit.select("path", "line"), "path")
@@ -159,18 +159,19 @@ def _behind_guards(tree: DataFrame, found: DataFrame) -> DataFrame:
     guard = F.coalesce((F.col("form") == "when") & (F.col("kind") == "call"), F.lit(False))
     paths = found.where("pattern_form = 'when' and pattern_kind = 'call'").select("path").distinct()
     plain = F.last(F.when(~guard, F.struct("form", "kind")), ignorenulls=True).over(Window.partitionBy("path").orderBy(F.desc("pre")))
-    return tree.join(paths, "path", "left_semi").withColumn("plain", plain).where(guard).select("path", F.col("pre").alias("pattern_pre"), "plain")
+    return below(tree, "(form = 'when' and kind = 'call') or (up_form = 'when' and ord = 0)").join(paths, "path", "left_semi").withColumn("plain", plain).where(guard).select("path", F.col("pre").alias("pattern_pre"), "plain")
 
 
 def no_discarding_arrow_in_with(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
     tree = facts.tree
     withs = tree.where("form = 'with' and kind = 'call' and arg_count >= 2").select("path", "pre")
-    first = with_child(tree.where("kind = 'list'").select("path", "pre", F.col("parent").alias("with_pre"), F.col("ord").alias("do_ord")), tree, "pair", 0).where("pair_kind = 'pair'")
-    first = with_child(first, tree, "key", 0, "pair_pre").where("key_lit_type = 'atom' and key_lit = 'do'")
+    lists = below(tree, "kind = 'list' and up_form = 'with'").where("kind = 'list'")
+    first = with_child(lists.select("path", "pre", F.col("parent").alias("with_pre"), F.col("ord").alias("do_ord")), tree, "pair", 0, where="up2_form = 'with'").where("pair_kind = 'pair'")
+    first = with_child(first, tree, "key", 0, "pair_pre", where="lit_type = 'atom' and lit = 'do'").where("key_lit_type = 'atom' and key_lit = 'do'")
     dos = first.groupBy("path", F.col("with_pre").alias("pre")).agg(F.min("do_ord").alias("do_ord"))
     arrow = children(tree.where("form = '<-' and kind = 'call' and arg_count = 2"), "arrow").withColumnRenamed("arrow_parent", "pre")
     found = withs.join(dos, ["path", "pre"]).join(arrow, ["path", "pre"]).where("arrow_ord < do_ord")
-    found = with_child(found, tree, "pattern", 0, "arrow_pre")
+    found = with_child(found, tree, "pattern", 0, "arrow_pre", where="up_form = '<-'")
     found = found.join(_behind_guards(tree, found), ["path", "pattern_pre"], "left")
     found = found.withColumns({f"pattern_{c}": F.when(F.col("plain").isNotNull(), F.col(f"plain.{c}")).otherwise(F.col(f"pattern_{c}")) for c in ("form", "kind")})
     kinds = ("var", "call") if compat.underscore else ("var",)
@@ -180,38 +181,38 @@ def no_discarding_arrow_in_with(facts: Facts, matched: DataFrame, scratch: Scrat
     return issue(found, "no_discarding_arrow_in_with", "refactoring", "arrow_line", "pattern_form", text, rule=False)
 
 
-def _only_do(nodes: DataFrame, tree: DataFrame, prefix: str) -> DataFrame:
-    """Nodes whose second argument is a list of nothing but a do part, beside that part."""
-    lists = with_child(nodes, tree, "list", 1).where("list_kind = 'list' and list_arg_count = 1")
-    pairs = with_child(lists, tree, "pair", 0, "list_pre").where("pair_kind = 'pair'")
-    keyed = with_child(pairs, tree, "key", 0, "pair_pre").where("key_lit_type = 'atom' and key_lit = 'do'")
-    part = with_child(keyed, tree, prefix, 1, "pair_pre")
+def _only_do(nodes: DataFrame, tree: DataFrame, prefix: str, forms: str, where: str) -> DataFrame:
+    """Nodes whose second argument is a list of nothing but a do part, beside that part. ``forms``: what the nodes' own may be; ``where``: what holds of the parts asked for."""
+    lists = with_child(nodes, tree, "list", 1, where=f"kind = 'list' and arg_count = 1 and up_form in {forms}").where("list_kind = 'list' and list_arg_count = 1")
+    pairs = with_child(lists, tree, "pair", 0, "list_pre", where=f"kind = 'pair' and up2_form in {forms}").where("pair_kind = 'pair'")
+    keyed = with_child(pairs, tree, "key", 0, "pair_pre", where="lit_type = 'atom' and lit = 'do'").where("key_lit_type = 'atom' and key_lit = 'do'")
+    part = with_child(keyed, tree, prefix, 1, "pair_pre", where=where)
     return part.select(*nodes.columns, *(c for c in part.columns if c.startswith(f"{prefix}_")))
 
 
 def struct_getter_convention(facts: Facts, matched: DataFrame, scratch: Scratch, compat: Compat) -> DataFrame:
     tree = facts.tree
-    bodies = _only_do(tree.where("pre = 0 and form = 'defmodule' and arg_count = 2").select("path", "pre"), tree, "body")
+    bodies = _only_do(tree.where("pre = 0 and form = 'defmodule' and arg_count = 2").select("path", "pre"), tree, "body", "('defmodule')", "depth = 3")
     block = (F.col("body_form") == "__block__") & (F.col("body_kind") == "call")
-    inner = children(tree, "top").withColumnRenamed("path", "_path")
+    inner = children(tree.where("depth in (3, 4)"), "top").withColumnRenamed("path", "_path")  # the part of a module, or the statements of its block
     tops = bodies.join(inner, (F.col("path") == F.col("_path")) & F.when(block, F.col("top_parent") == F.col("body_pre")).otherwise(F.col("top_pre") == F.col("body_pre")))
     tops = tops.select("path", F.col("top_pre").alias("pre"), F.col("top_form").alias("form"), F.col("top_kind").alias("kind"), F.col("top_arg_count").alias("arg_count"), F.col("top_line").alias("line"))
-    structs = with_child(tops.where("form = 'defstruct' and kind = 'call' and arg_count = 1"), tree, "fields", 0).where("fields_kind = 'list'")
+    structs = with_child(tops.where("form = 'defstruct' and kind = 'call' and arg_count = 1"), tree, "fields", 0, where="up_form = 'defstruct'").where("fields_kind = 'list'")
     structs = structs.groupBy("path").agg(F.min_by("fields_pre", "pre").alias("fields_pre"))
-    entry = children(tree, "entry").withColumnRenamed("entry_parent", "fields_pre")
-    name = children(tree, "field", 0).select("path", F.col("field_parent").alias("entry_pre"), "field_lit_type")
+    entry = children(below(tree, "up2_form = 'defstruct'"), "entry").withColumnRenamed("entry_parent", "fields_pre")
+    name = children(tree.where("lit_type = 'atom' and depth in (6, 7)"), "field", 0).select("path", F.col("field_parent").alias("entry_pre"), "field_lit_type")
     entries = structs.join(entry, ["path", "fields_pre"]).join(name, ["path", "entry_pre"], "left")
     named = entries.where("(entry_kind = 'literal' and entry_lit_type = 'atom') or (entry_kind = 'pair' and field_lit_type = 'atom')").select("path").distinct()
 
     functions = tops.where("form in ('def', 'defp') and arg_count = 2").join(named, "path", "left_semi")
-    heads = with_child(functions.select("path", "pre", "line"), tree, "head", 0).where("head_kind = 'call' and head_arg_count = 1 and head_form not in ('.()', '()()')").select("path", "pre", "line", "head_pre", "head_form")
-    heads = _only_do(heads, tree, "result").where("result_kind = 'var'").select("path", "pre", "line", "head_pre", "head_form", "result_form")
-    heads = with_child(heads, tree, "arg", 0, "head_pre").where("arg_form = '%' and arg_kind = 'call'").select("path", "pre", "line", "head_form", "result_form", "arg_pre")
-    heads = with_child(heads, tree, "module", 0, "arg_pre").where("module_form = '__MODULE__'")
-    heads = with_child(heads, tree, "map", 1, "arg_pre").where("map_form = '%{}'").select("path", "pre", "line", "head_form", "result_form", "map_pre")
-    pairs = children(tree.where("kind = 'pair'"), "pair").withColumnRenamed("pair_parent", "map_pre")
-    bound = with_child(heads.join(pairs, ["path", "map_pre"]), tree, "value", 1, "pair_pre").where("value_kind = 'var' and value_form = result_form")
-    bound = with_child(bound, tree, "key", 0, "pair_pre")
+    heads = with_child(functions.select("path", "pre", "line"), tree, "head", 0, where="up_form in ('def', 'defp')").where("head_kind = 'call' and head_arg_count = 1 and head_form not in ('.()', '()()')").select("path", "pre", "line", "head_pre", "head_form")
+    heads = _only_do(heads, tree, "result", "('def', 'defp')", "kind = 'var'").where("result_kind = 'var'").select("path", "pre", "line", "head_pre", "head_form", "result_form")
+    heads = with_child(heads, tree, "arg", 0, "head_pre", where="form = '%'").where("arg_form = '%' and arg_kind = 'call'").select("path", "pre", "line", "head_form", "result_form", "arg_pre")
+    heads = with_child(heads, tree, "module", 0, "arg_pre", where="form = '__MODULE__'").where("module_form = '__MODULE__'")
+    heads = with_child(heads, tree, "map", 1, "arg_pre", where="form = '%{}'").where("map_form = '%{}'").select("path", "pre", "line", "head_form", "result_form", "map_pre")
+    pairs = children(below(tree, "kind = 'pair' and up_form = '%{}'").where("kind = 'pair'"), "pair").withColumnRenamed("pair_parent", "map_pre")
+    bound = with_child(heads.join(pairs, ["path", "map_pre"]), tree, "value", 1, "pair_pre", where="kind = 'var' and up2_form = '%{}'").where("value_kind = 'var' and value_form = result_form")
+    bound = with_child(bound, tree, "key", 0, "pair_pre", where="up2_form = '%{}'")
     first = bound.groupBy("path", "pre", "line", "head_form").agg(F.min_by("key_lit", "pair_ord").alias("field"))
     found = first.where("head_form <> field").join(matched.select("path").distinct(), "path", "left_semi")
     text = told("Getter function `", F.col("head_form"), "` should be named `", F.col("field"), "` to match the field it extracts")

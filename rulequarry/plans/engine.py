@@ -55,10 +55,10 @@ def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat()
     scratch = Scratch(spark, "checks")
     known = REGISTRY if checks is None else checks
     files = files.withColumn("source", F.coalesce("source", F.lit("")))
-    facts = Facts(files, scratch.keep(Facts(files).tree) if tree is None else tree)
+    facts = Facts.written(files, scratch) if tree is None else Facts(files, tree)
     table = rules_table(spark, rules)
     matched = match_rules(table, facts, len(rules), compat) if matched_by_path else files.select("path").crossJoin(F.broadcast(table))
-    matched = scratch.keep(matched)
+    matched = scratch.keep(matched).hint("merge")  # as many rows as files and rules, which compress well
     wanted = [t for t in known if any(r.type == t for r in rules)]
     found = [known[t](facts, matched.where(F.col("type") == t), scratch, compat) for t in wanted]
     if not found:

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulequarry.operators.facts import Facts
+from rulequarry.operators.facts import ARG_ROWS, DEF_ROWS, DOC_ROWS, MODULE_ROWS, USE_ROWS, Facts
 from rulequarry.plans import engine
 from rulequarry.plans.catalogue import _read, query
 from rulequarry.session import Scratch, ship
@@ -93,7 +93,7 @@ _UP, _THIRD, _GETTER, _FIELD = map(_value, ("up", "third", "getter", "field"))
 def parsed_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state and the module of each file; every 17th lacks its last end."""
     cut = F.when(F.regexp_extract("path", r"p(\d+)\.ex$", 1).cast("long") % 17 == 0, F.expr("substring(source, 1, length(source) - 4)")).otherwise(F.col("source"))
-    facts = Facts(_part_files(spark, sf_dir).withColumn("source", cut))
+    facts = Facts.written(_part_files(spark, sf_dir).withColumn("source", cut), Scratch(spark, "modules"), MODULE_ROWS)
     return facts.status.join(facts.modules.select("path", "module"), "path", "left").select("path", "parse_status", "module")
 
 
@@ -111,7 +111,7 @@ def direct_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PARTS} SELECT path, 'Base' || k % 3 AS used FROM p")
 def used_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X3, X6"""
-    return Facts(_part_files(spark, sf_dir)).uses
+    return Facts.written(_part_files(spark, sf_dir), Scratch(spark, "uses"), USE_ROWS).uses
 
 
 @query(f"""WITH {_PARTS}, {_DEPS} SELECT 'Shop.P' || k AS src, dep AS dst FROM d WHERE k % 10 <> 5
@@ -120,7 +120,7 @@ def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between modules; every tenth has a second file, which wins."""
     keys = _keys(spark, sf_dir, "part", "p_partkey")
     again = keys.where("k % 10 = 5").select(F.concat(F.lit("apps/shop"), (F.col("k") % 4).cast("string"), F.lit("/lib/p"), F.col("k").cast("string"), F.lit("_again.ex")).alias("path"), _made(AGAIN).alias("source"))
-    return Facts(_files(keys).union(again)).edges
+    return Facts.written(_files(keys).union(again), Scratch(spark, "graph"), f"{MODULE_ROWS} or form = '__aliases__'").edges
 
 
 _DEFS = f"""SELECT path, {_GETTER} AS name, 1 AS arity, 10 AS line, 'public' AS visibility FROM p UNION ALL SELECT path, 'b' || k % 3, 2, 11, 'private' FROM p UNION ALL SELECT path, 'a' || k % 4, 1, 17, 'public' FROM p
@@ -130,20 +130,20 @@ _DEFS = f"""SELECT path, {_GETTER} AS name, 1 AS arity, 10 AS line, 'public' AS
 @query(f"WITH {_PARTS} SELECT path, name, arity::BIGINT AS arity, line::BIGINT AS line, visibility FROM ({_DEFS})")
 def function_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The functions of a file."""
-    return Facts(_part_files(spark, sf_dir)).clauses.select("path", "name", F.col("arity").cast("long").alias("arity"), F.col("line").cast("long").alias("line"), "visibility")
+    return Facts.written(_part_files(spark, sf_dir), Scratch(spark, "functions"), DEF_ROWS).clauses.select("path", "name", F.col("arity").cast("long").alias("arity"), F.col("line").cast("long").alias("line"), "visibility")
 
 
 @query(f"WITH {_PARTS} SELECT path, unnest([2, 9])::BIGINT AS start_line, unnest([5, 9])::BIGINT AS end_line FROM p")
 def documentation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X24"""
-    return Facts(_part_files(spark, sf_dir)).doc_ranges.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    return Facts.written(_part_files(spark, sf_dir), Scratch(spark, "docs"), DOC_ROWS).doc_ranges.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 @query(f"""WITH {_PARTS}, a AS (SELECT path, 11 AS line, unnest(['x', 'y']) AS arg FROM p UNION ALL SELECT path, 17, 'x' FROM p UNION ALL SELECT path, 22, 'x' FROM p UNION ALL SELECT path, 27, 'x' FROM p
     UNION ALL SELECT path, 27, 'a' FROM p WHERE k % 4 = 3) SELECT path, line::BIGINT AS line, arg FROM a""")
 def plain_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters that are plain names, by the line of their function."""
-    facts = Facts(_part_files(spark, sf_dir))
+    facts = Facts.written(_part_files(spark, sf_dir), Scratch(spark, "parameters"), ARG_ROWS)
     lines = facts.clauses.select("path", F.col("pre").alias("def_pre"), F.col("line").cast("long").alias("line"))
     return facts.bare_args.join(lines, ["path", "def_pre"]).select("path", "line", "arg")
 
@@ -166,8 +166,7 @@ _SELECTING = [
     UNION ALL SELECT path, 3 FROM p WHERE k % 3 = 2 UNION ALL SELECT path, 5 FROM p WHERE k % 4 < 2""")
 def rule_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that each rule holds for: by path, by module, by a used module, or none."""
-    files = _part_files(spark, sf_dir)
-    facts = Facts(files, Scratch(spark, "selection").keep(Facts(files).tree))
+    facts = Facts.written(_part_files(spark, sf_dir), Scratch(spark, "selection"), f"{MODULE_ROWS} or {USE_ROWS}")
     return engine.match_rules(rules_table(spark, _SELECTING), facts, len(_SELECTING)).select("path", "rule_id")
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from rulequarry.sources.elixir import SyntaxProblem, parse, rows
 
-TREE = "path string, pre int, last int, parent int, ord int, depth int, kind string, form string, arg_count int, line int, lit_type string, lit string"
+TREE = "path string, pre int, last int, parent int, ord int, depth int, kind string, form string, arg_count int, line int, lit_type string, lit string, up_form string, up2_form string"
 _COLUMNS = [c.split(" ") for c in TREE.split(", ")]
 _SCHEMA = pa.schema([(n, pa.string() if t == "string" else pa.int32()) for n, t in _COLUMNS])
+#: Parsing tasks for each core.
+TASKS = 4
 #: Fixed value: how a function head is found in text. Names that end in a mark, and arguments after a first closing parenthesis, are not seen.
 HEAD = re.compile(r"^\s*(defp?)\s+(\w+)\s*\(([^)]*)\)(\s+when\s+[^\n]+)?", re.M)
 
@@ -35,7 +37,8 @@ def _trees(batches):
                 found = rows(parse(source or ""))
             except SyntaxProblem as e:
                 found = [(-1, -1, -1, 0, 0, "error", None, None, None, None, str(e))]
-            out += [(path, *r) for r in found]
+            ups = [found[r[2]] if r[2] >= 0 else None for r in found]
+            out += [(path, *r, u and u[6], u and u[2] >= 0 and found[u[2]][6] or None) for r, u in zip(found, ups, strict=True)]
             if len(out) > 50_000:
                 yield _batch(out)
                 out = []
@@ -50,9 +53,13 @@ def _batch(out):
 def tree_rows(files: DataFrame) -> DataFrame:
     """Nested-set rows of each file's syntax tree: a node's descendants are the rows of its path with ``pre`` in (pre, last].
 
+    ``up_form`` and ``up2_form`` are the forms of a node's parent and of that one's, by which a join can leave out most rows before it deals them.
     A file that can't be parsed gives one row of kind ``error`` with the reason in ``lit``, and no structural facts.
+
+    Sources are dealt to a number of tasks that doesn't depend on how they are stored: a table of small rows in one file would be parsed by one task.
     """
-    return files.select("path", "source").mapInArrow(_trees, TREE)
+    n = files.sparkSession.sparkContext.defaultParallelism * TASKS
+    return files.select("path", "source").repartition(n, "path", "source").mapInArrow(_trees, TREE)
 
 
 def _heads(batches):
