@@ -42,11 +42,12 @@ class Facts:
     """Fact tables of a corpus. ``files``: ``path``, ``source`` and, if later files shall win over others than by path, ``file_ord``.
 
     ``tree`` may be a table of tree rows that was written before; parsing is the costly part, so do write it for a corpus of size (``written``).
-    Its joins are never broadcast: a tree takes many times the size that its files, or what it was parsed from, let one expect.
+    Its joins are never broadcast: a tree takes many times the size that its files, or what it was parsed from, let one expect. With ``scratch`` the
+    facts that several checks ask for are written when the first does.
     """
 
-    def __init__(self, files: DataFrame, tree: DataFrame | None = None):
-        self.files = files
+    def __init__(self, files: DataFrame, tree: DataFrame | None = None, scratch: Scratch | None = None):
+        self.files, self.scratch = files, scratch
         self.tree = (source.tree_rows(files) if tree is None else tree).hint("merge")
 
     @classmethod
@@ -54,6 +55,9 @@ class Facts:
         """Facts of files that are parsed once, into a table of those tree rows for which ``where`` holds."""
         return cls(files, scratch.keep(source.tree_rows(files).where(where)))
 
+    def _kept(self, fact: DataFrame) -> DataFrame:
+        return fact if self.scratch is None else self.scratch.keep(fact).hint("merge")
+
     @cached_property
     def lines(self) -> DataFrame:
         return source.lines(self.files)
@@ -76,12 +80,12 @@ class Facts:
         root = with_child(self.tree.where("pre = 0 and form = 'defmodule'").select("path", "pre"), self.tree, "name", 0, where="parent = 0")
         named = root.where("name_form = '__aliases__' and name_lit is not null").select("path", F.col("name_lit").alias("module"))
         order = F.col("file_ord") if "file_ord" in self.files.columns else F.col("path")
-        return named.join(self.files.select("path", order.alias("file_ord")).hint("merge"), "path")
+        return self._kept(named.join(self.files.select("path", order.alias("file_ord")).hint("merge"), "path"))
 
     @cached_property
     def deps(self) -> DataFrame:
         """``path, dep, last_line``: direct dependencies with the line of the last reference."""
-        return self.references.groupBy("path", "dep").agg(F.max_by("line", "pre").alias("last_line"))
+        return self._kept(self.references.groupBy("path", "dep").agg(F.max_by("line", "pre").alias("last_line")))
 
     @cached_property
     def uses(self) -> DataFrame:
@@ -104,11 +108,11 @@ class Facts:
         guard = (F.col("head_form") == "when") & (F.col("head_kind") == "call")
         real = lambda c: F.when(guard, F.col(f"inner_{c}")).otherwise(F.col(f"head_{c}"))
         named = real("form").isNotNull() & real("kind").isin("call", "var") & ~real("form").isin(".()", "()()")
-        return own.where(named).select(
+        return self._kept(own.where(named).select(
             "path", "pre", F.col("definer").alias("kind"), real("form").alias("name"), F.when(guard, F.lit("when")).otherwise(F.col("head_form")).alias("raw_name"),
             F.coalesce(real("arg_count"), F.lit(0)).alias("arity"), (real("kind") == "call").alias("has_args_list"), guard.alias("has_guard"), (F.col("arg_count") == 2).alias("has_body"),
             "line", real("pre").alias("head_pre"), "body_pre", "body_last", F.when(F.col("definer").isin("defp", "defmacrop"), "private").otherwise("public").alias("visibility"),
-        )
+        ))
 
     @cached_property
     def clauses(self) -> DataFrame:

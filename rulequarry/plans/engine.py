@@ -11,6 +11,7 @@ from rulequarry.operators.checks import ISSUES, REGISTRY, Compat
 from rulequarry.operators.facts import Facts
 from rulequarry.session import Scratch, ship
 from rulequarry.sources.config import ConfigError, Rule, discover, rules_table
+from rulequarry.sources.files import tree_rows
 
 #: Rules are configuration; beyond this number their table is joined without a broadcast. Up to the other number their patterns are literals of one
 #: projection, compiled once; more would make a plan too large, and are told by a join. The result is the same.
@@ -47,7 +48,7 @@ def match_rules(rules: DataFrame, facts: Facts, n_rules: int, compat: Compat = C
 def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat(), checks: dict | None = None, tree: DataFrame | None = None, matched_by_path: bool = True) -> DataFrame:
     """All issues of ``files(path, source[, file_ord])`` under the rules. ``checks``: by rule type, all known ones by default; further checks may be added.
 
-    Files are parsed once into a written table. ``matched_by_path=False`` skips rule selection and holds every rule against every file. A null source
+    Files are parsed once into a written table, and the issues of each check are written before the next. ``matched_by_path=False`` skips rule selection and holds every rule against every file. A null source
     is an empty text; a file that can't be parsed gets only issues of text checks; unknown rule types have none.
     """
     spark = files.sparkSession
@@ -55,15 +56,19 @@ def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat()
     scratch = Scratch(spark, "checks")
     known = REGISTRY if checks is None else checks
     files = files.withColumn("source", F.coalesce("source", F.lit("")))
-    facts = Facts.written(files, scratch) if tree is None else Facts(files, tree)
+    files = scratch.keep(files)  # several checks read the texts, which may be costly to make
+    facts = Facts(files, scratch.keep(tree_rows(files)) if tree is None else tree, scratch)
     table = rules_table(spark, rules)
     matched = match_rules(table, facts, len(rules), compat) if matched_by_path else files.select("path").crossJoin(F.broadcast(table))
     matched = scratch.keep(matched).hint("merge")  # as many rows as files and rules, which compress well
     wanted = [t for t in known if any(r.type == t for r in rules)]
-    found = [known[t](facts, matched.where(F.col("type") == t), scratch, compat) for t in wanted]
+    found = []
+    for t in wanted:  # one after the other: a plan of all checks takes much of the driver's memory
+        found.append(scratch.keep(known[t](facts, matched.where(F.col("type") == t), scratch, compat).select(*ISSUES)))
+        scratch.tidy()
     if not found:
         return spark.createDataFrame([], "check string, rule_id int, category string, path string, line_no int, trigger string, message string")
-    return reduce(DataFrame.unionByName, found).select(*ISSUES)
+    return reduce(DataFrame.unionByName, found)
 
 
 def run_project(files: DataFrame, cwd: str, *, on_config_error: str = "raise", **how) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rulequarry.operators.facts import Facts
 from rulequarry.plans import catalogue
+from rulequarry.plans.engine import run_checks
 from rulequarry.sources import files as source
+from rulequarry.sources.config import Rule
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,3 +37,11 @@ def test_a_tree_without_forms_above(spark):
     for name in ("modules", "uses", "defs", "bare_args", "doc_ranges", "edges", "status"):
         want = sorted(map(str, getattr(old, name).collect()))
         assert want and sorted(map(str, getattr(new, name).collect())) == want, name
+
+
+def test_issues_are_written_check_by_check(spark):
+    files = spark.createDataFrame([("a.ex", "defmodule A do\n  def b(x), do: x\n  def a(x), do: x\nend")], "path string, source string")
+    found = run_checks(files, [Rule("alphabetized_functions", paths=["*.ex"]), Rule("max_file_length", paths=["*.ex"], max_lines=1)])
+    assert sorted(r.check for r in found.collect()) == ["alphabetized_functions"] * 2 + ["max_file_length"]
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "Join" not in plan and "Exchange" not in plan
