@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,9 @@ from rulequarry.session import Scratch
 #: Edges, and bytes of their names, up to which each task gets all of them. They change how the work is dealt and not the result.
 EDGES = 200_000
 BYTES = 16 << 20
+#: The same for paths, whose edges are sent as numbers of four bytes.
+PATH_EDGES = 4_000_000
+PATH_BYTES = 128 << 20
 _PLAIN = {"string": str, "tinyint": int, "smallint": int, "int": int, "bigint": int}
 
 
@@ -36,11 +43,11 @@ def _walk(edges):
     return run
 
 
-def _few(edges: DataFrame) -> bool:
-    """Whether the edges are within the bounds."""
+def _few(edges: DataFrame, most: int, most_bytes: int) -> bool:
+    """Whether the edges and the bytes of their names are within the bounds."""
     size = sum((F.octet_length(F.col(c).cast("string")) for c in ("src", "dst")), F.lit(0))
     held = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return held["n"] <= EDGES and held["bytes"] <= BYTES
+    return held["n"] <= most and held["bytes"] <= most_bytes
 
 
 def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -52,7 +59,7 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) ->
     edges = scratch.keep(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
     seen = scratch.keep(starts.where("start is not null").select("start", F.col("start").alias("node")).distinct())
     plain = {_PLAIN.get(kind) for _, kind in edges.dtypes + seen.dtypes}
-    if len(plain) == 1 and None not in plain and _few(edges):
+    if len(plain) == 1 and None not in plain and _few(edges, EDGES, BYTES):
         spark = scratch.spark
         sent = spark.sparkContext.broadcast([tuple(r) for r in edges.collect()])
         kind = dict(seen.union(edges).dtypes)["node"]  # the wider one
@@ -67,6 +74,61 @@ def transitive_closure(edges: DataFrame, starts: DataFrame, scratch: Scratch) ->
         seen = seen.union(new)  # both are written tables
 
 
+def _numbered(edges: DataFrame) -> tuple:
+    """The names of all nodes, sorted, where each one's neighbours begin, and the neighbours, sorted too; nodes go by their place among the names."""
+    table = edges.toArrow()
+    src, dst = (table.column(c).combine_chunks() for c in ("src", "dst"))
+    names = pc.unique(pa.concat_arrays([src, dst]))
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int32) for x in (src, dst))
+    order = np.lexsort((b, a))
+    return names, array("i", np.searchsorted(a[order], np.arange(len(names) + 1)).astype(np.int32).tobytes()), array("i", b[order].tobytes())
+
+
+def _walk_paths(graph, schema):
+    """The paths to the targets of each start. Depth-first search meets all nodes in the same order whatever it looks for, so one search serves all
+    targets, and the path to each is the one by which it was first met."""
+
+    def run(batches):
+        names, begin, after = graph.value
+        n = len(names)
+        came, at = array("i", [-1]) * n, array("i", begin)
+        for batch in batches:
+            starts = pc.index_in(batch.column("start"), names).to_pylist()
+            for row, (node, targets) in enumerate(zip(starts, batch.column("targets"), strict=True)):
+                if node is None:  # no edges
+                    continue
+                places = pc.index_in(targets.values, names).to_pylist()
+                todo, met, here = {x for x in places if x is not None and x != node}, [node], node
+                came[node] = node
+                while todo:
+                    i = at[here]
+                    if i == begin[here + 1]:
+                        if here == node:
+                            break
+                        here = came[here]
+                        continue
+                    at[here] = i + 1
+                    new = after[i]
+                    if came[new] < 0:
+                        came[new] = here
+                        met.append(new)
+                        todo.discard(new)
+                        here = new
+                for j, target in enumerate(places):
+                    if target is None or target == node or came[target] < 0:
+                        continue
+                    path = [target]
+                    while path[-1] != node:
+                        path.append(came[path[-1]])
+                    found = pa.ListArray.from_arrays(pa.array([0, len(path)], pa.int32()), names.take(pa.array(path[::-1])))
+                    yield pa.RecordBatch.from_arrays([batch.column("start").slice(row, 1), targets.values.slice(j, 1), found], schema)
+                for x in met:
+                    came[x], at[x] = -1, begin[x]
+
+    return run
+
+
 def _search():
     """The first path from the start to the target of each group of edges, by depth-first search over sorted neighbours."""
 
@@ -95,10 +157,20 @@ def _search():
 def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, *, forward: DataFrame | None = None) -> DataFrame:
     """``start, target, path``: the lexicographically first simple path, which is what depth-first search over sorted neighbours finds.
 
-    Only nodes that the start reaches and that reach the target are searched, each once and in one task for a pair, so paths may have any length.
-    ``forward``: the closure of all starts of ``pairs`` over ``edges``, if the caller has it already.
+    Each node is seen once, in one task for a start, so paths may have any length. Up to PATH_EDGES edges are sent to every task as numbers. Of more, or
+    with ``forward`` (the closure of all starts of ``pairs`` over ``edges``, if the caller has it already), only those between nodes that the start
+    reaches and that reach the target go to a pair's task. Both give the same paths.
     """
     pairs = pairs.distinct()
+    same = pairs.where("start = target").select("start", "target", F.array(F.col("start").cast(edges.schema["src"].dataType)).alias("path"))
+    if forward is None and len({kind for _, kind in edges.select("src", "dst").dtypes + pairs.dtypes}) == 1 and edges.schema["src"].dataType.simpleString() in _PLAIN:
+        edges = scratch.keep(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
+        if _few(edges, PATH_EDGES, PATH_BYTES):
+            spark, kind = scratch.spark, edges.schema["src"].dataType.simpleString()
+            sent = spark.sparkContext.broadcast(_numbered(edges))
+            asked = pairs.where("start <> target").groupBy("start").agg(F.collect_list("target").alias("targets"))
+            asked = asked.repartition(spark.sparkContext.defaultParallelism, "start")
+            return scratch.keep(asked.mapInArrow(_walk_paths(sent, ["start", "target", "path"]), f"start {kind}, target {kind}, path array<{kind}>")).union(same)
     if forward is None:
         forward = transitive_closure(edges, pairs.select("start").distinct(), scratch)
     back = transitive_closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("start")).distinct(), scratch)
@@ -109,7 +181,7 @@ def first_paths(edges: DataFrame, pairs: DataFrame, scratch: Scratch, *, forward
     kind = {c: (edges if c in ("src", "dst") else pairs).schema[c].dataType.simpleString() for c in ("start", "target", "src")}
     steps = steps.where("start <> target").select("start", "target", "src", "dst")
     found = steps.groupBy("start", "target").applyInArrow(_search(), f"start {kind['start']}, target {kind['target']}, path array<{kind['src']}>")
-    return found.union(pairs.where("start = target").select("start", "target", F.array(F.col("start").cast(kind["src"]))))
+    return found.union(same)
 
 
 def chain_text(path: Column) -> Column:

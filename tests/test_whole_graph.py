@@ -74,6 +74,29 @@ def test_long_path_among_many(spark):
     assert [r.path for r in got] == [sorted({x for i in range(0, 60, 3) for x in (i, i + 1)} | {60})]
 
 
+@pytest.mark.parametrize("kind, name", [("string", "ü{}".format), ("int", int)])
+def test_both_ways_of_paths(spark, monkeypatch, kind, name):
+    rng = random.Random(3)
+    rows = [(name(rng.randrange(12)), name(rng.randrange(12))) for _ in range(26)]
+    edges, after = spark.createDataFrame([*rows, (None, name(1)), (name(1), None)], f"src {kind}, dst {kind}"), {}
+    for a, b in rows:
+        after.setdefault(a, set()).add(b)
+    pairs = [(name(i), name(j)) for i in range(14) for j in range(14)]
+    want = {(s, t): p for s, t in pairs if (p := first(after, [s], t))}
+    for most in (graph.PATH_EDGES, 0):
+        monkeypatch.setattr(graph, "PATH_EDGES", most, raising=False)
+        got = graph.first_paths(edges, spark.createDataFrame(pairs, f"start {kind}, target {kind}"), Scratch(spark, "test")).collect()
+        assert {(r.start, r.target): r.path for r in got} == want and len(got) == len(want)
+
+
+def test_paths_take_one_pass(spark, monkeypatch):
+    """Over more edges than a closure sends to its tasks, paths were found by a round for each step."""
+    monkeypatch.setattr(graph, "EDGES", 0)
+    monkeypatch.setattr(graph, "transitive_closure", None)
+    edges, pairs = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst"), spark.createDataFrame([(0, 3000), (5, 7)], "start long, target long")
+    assert sorted(r.path for r in graph.first_paths(edges, pairs, Scratch(spark, "test")).collect()) == [list(range(3001)), [5, 6, 7]]
+
+
 @pytest.mark.parametrize("kind, name", [("string", "m{:03}".format), ("int", int)])
 def test_both_ways_of_the_closure(spark, monkeypatch, kind, name):
     rng = random.Random(2)
