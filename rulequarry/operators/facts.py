@@ -43,12 +43,15 @@ class Facts:
 
     ``tree`` may be a table of tree rows that was written before; parsing is the costly part, so do write it for a corpus of size (``written``).
     Its joins are never broadcast: a tree takes many times the size that its files, or what it was parsed from, let one expect. With ``scratch`` the
-    facts that several checks ask for are written when the first does.
+    facts that several checks ask for are written when the first does, and so is the tree, if there is none yet: who asks for texts only parses nothing.
     """
 
     def __init__(self, files: DataFrame, tree: DataFrame | None = None, scratch: Scratch | None = None):
-        self.files, self.scratch = files, scratch
-        self.tree = (source.tree_rows(files) if tree is None else tree).hint("merge")
+        self.files, self.scratch, self._tree = files, scratch, tree
+
+    @cached_property
+    def tree(self) -> DataFrame:
+        return self._kept(source.tree_rows(self.files)).hint("merge") if self._tree is None else self._tree.hint("merge")
 
     @classmethod
     def written(cls, files: DataFrame, scratch: Scratch, where: str = "true") -> Facts:

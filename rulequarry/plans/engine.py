@@ -11,7 +11,6 @@ from rulequarry.operators.checks import ISSUES, REGISTRY, Compat
 from rulequarry.operators.facts import Facts
 from rulequarry.session import Scratch, ship
 from rulequarry.sources.config import ConfigError, Rule, discover, rules_table
-from rulequarry.sources.files import tree_rows
 
 #: Rules are configuration; beyond this number their table is joined without a broadcast. Up to the other number their patterns are literals of one
 #: projection, compiled once; more would make a plan too large, and are told by a join. The result is the same.
@@ -40,15 +39,19 @@ def match_rules(rules: DataFrame, facts: Facts, n_rules: int, compat: Compat = C
     if compat.selectors:
         return by_path
     rest = small.where(F.size("paths") == 0)
-    by_module = _holding(facts.modules.select("path", "module"), rest.where("module_regex is not null"), n_rules, "module", "module_regex").drop("module")
-    by_use = facts.uses.join(rest.where("module_regex is null"), F.col("used") == F.col("uses_module")).drop("used")
-    return by_path.unionByName(by_module).unionByName(by_use)
+    asked = rest.agg(F.count("module_regex").alias("by_module"), F.count_if(F.col("module_regex").isNull()).alias("by_use")).first()
+    found = by_path
+    if asked["by_module"]:  # else no file need be parsed for this
+        found = found.unionByName(_holding(facts.modules.select("path", "module"), rest.where("module_regex is not null"), n_rules, "module", "module_regex").drop("module"))
+    if asked["by_use"]:
+        found = found.unionByName(facts.uses.join(rest.where("module_regex is null"), F.col("used") == F.col("uses_module")).drop("used"))
+    return found
 
 
 def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat(), checks: dict | None = None, tree: DataFrame | None = None, matched_by_path: bool = True) -> DataFrame:
     """All issues of ``files(path, source[, file_ord])`` under the rules. ``checks``: by rule type, all known ones by default; further checks may be added.
 
-    Files are parsed once into a written table, and the issues of each check are written before the next. ``matched_by_path=False`` skips rule selection and holds every rule against every file. A null source
+    Files are parsed once into a written table, if a rule or check asks for their trees, and the issues of each check are written before the next. ``matched_by_path=False`` skips rule selection and holds every rule against every file. A null source
     is an empty text; a file that can't be parsed gets only issues of text checks; unknown rule types have none.
     """
     spark = files.sparkSession
@@ -57,7 +60,7 @@ def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat()
     known = REGISTRY if checks is None else checks
     files = files.withColumn("source", F.coalesce("source", F.lit("")))
     files = scratch.keep(files)  # several checks read the texts, which may be costly to make
-    facts = Facts(files, scratch.keep(tree_rows(files)) if tree is None else tree, scratch)
+    facts = Facts(files, tree, scratch)
     table = rules_table(spark, rules)
     matched = match_rules(table, facts, len(rules), compat) if matched_by_path else files.select("path").crossJoin(F.broadcast(table))
     matched = scratch.keep(matched).hint("merge")  # as many rows as files and rules, which compress well

@@ -45,3 +45,23 @@ def test_issues_are_written_check_by_check(spark):
     assert sorted(r.check for r in found.collect()) == ["alphabetized_functions"] * 2 + ["max_file_length"]
     plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_text_checks_parse_nothing(spark, monkeypatch):
+    """With rules by path only, and a check that reads lines."""
+    files = spark.createDataFrame([("a.ex", "defmodule A do\n  use B\n  def b(x), do: x\nend"), ("b.ex", "x")], "path string, source string")
+    rules = [Rule("max_file_length", paths=["*.ex"], max_lines=1), Rule("max_file_length", pattern="A", max_lines=2), Rule("max_file_length", uses_module="B", max_lines=3)]
+    want = [sorted((r.rule_id, r.path) for r in run_checks(files, own).collect()) for own in (rules, rules[:1])]
+    assert want == [[(0, "a.ex"), (1, "a.ex"), (2, "a.ex")], [(0, "a.ex")]]
+
+    def own_lines(facts, matched, scratch, compat):
+        found = matched.select("rule_id", "path").join(facts.lines, "path")
+        return found.select(F.lit("own").alias("check"), "rule_id", F.lit("own").alias("category"), "path", "line_no", F.lit("n").alias("trigger"), F.col("text").alias("message"))
+
+    def never(files):
+        raise AssertionError("parsed")
+
+    monkeypatch.setattr(source, "tree_rows", never)
+    monkeypatch.setattr("rulequarry.plans.engine.tree_rows", never, raising=False)
+    found = run_checks(files, [Rule("own", paths=["b.ex"])], checks={"own": own_lines}).collect()
+    assert [(r.path, r.line_no, r.message) for r in found] == [("b.ex", 1, "x")]
