@@ -295,4 +295,6 @@ REGISTRY = {
         alphabetized_functions, max_file_length, no_comparison_in_if, no_discarding_arrow_in_with, struct_getter_convention,
     )
 }
+#: Tree rows that a check needs, where that is much less than all.
+NEEDS = {no_discarding_arrow_in_with: "form in ('with', '<-', 'when') or up_form in ('with', '<-', 'when') or up2_form = 'with' or lit = 'do'"}
 REGISTERED = tuple(REGISTRY)[:7]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.operators.checks import ISSUES, REGISTRY, Compat
+from rulequarry.operators.checks import ISSUES, NEEDS, REGISTRY, Compat
 from rulequarry.operators.facts import Facts
 from rulequarry.session import Scratch, ship
 from rulequarry.sources.config import ConfigError, Rule, discover, rules_table
@@ -60,11 +60,15 @@ def run_checks(files: DataFrame, rules: list[Rule], *, compat: Compat = Compat()
     known = REGISTRY if checks is None else checks
     files = files.withColumn("source", F.coalesce("source", F.lit("")))
     files = scratch.keep(files)  # several checks read the texts, which may be costly to make
-    facts = Facts(files, tree, scratch)
+    wanted = [t for t in known if any(r.type == t for r in rules)]
+    if tree is None and wanted and all(known[t] in NEEDS for t in wanted) and (not matched_by_path or all(r.paths for r in rules)):
+        facts = Facts.written(files, scratch, " or ".join(NEEDS[known[t]] for t in wanted))
+        facts.scratch = scratch
+    else:
+        facts = Facts(files, tree, scratch)
     table = rules_table(spark, rules)
     matched = match_rules(table, facts, len(rules), compat) if matched_by_path else files.select("path").crossJoin(F.broadcast(table))
     matched = scratch.keep(matched).hint("merge")  # as many rows as files and rules, which compress well
-    wanted = [t for t in known if any(r.type == t for r in rules)]
     found = []
     for t in wanted:  # one after the other: a plan of all checks takes much of the driver's memory
         found.append(scratch.keep(known[t](facts, matched.where(F.col("type") == t), scratch, compat).select(*ISSUES)))

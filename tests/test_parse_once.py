@@ -65,3 +65,15 @@ def test_text_checks_parse_nothing(spark, monkeypatch):
     monkeypatch.setattr("rulequarry.plans.engine.tree_rows", never, raising=False)
     found = run_checks(files, [Rule("own", paths=["b.ex"])], checks={"own": own_lines}).collect()
     assert [(r.path, r.line_no, r.message) for r in found] == [("b.ex", 1, "x")]
+
+
+def test_a_check_alone_keeps_the_rows_it_needs(spark, monkeypatch):
+    kept = []
+    real = Facts.written.__func__
+    monkeypatch.setattr(Facts, "written", classmethod(lambda cls, *how: kept.append(real(cls, *how)) or kept[-1]))
+    text = "defmodule A do\n  def f(x) do\n    with {:ok, a} <- g(x),\n         _b when a > 1 when a < 9 <- h(a) do\n      a\n    end\n  end\n  def z(x), do: [x, x, x]\nend"
+    files = spark.createDataFrame([("a.ex", text)], "path string, source string")
+    arrow, other = Rule("no_discarding_arrow_in_with", paths=["*.ex"]), Rule("alphabetized_functions", paths=["*.ex"])
+    alone = [str(r) for r in run_checks(files, [arrow]).collect()]
+    assert len(kept) == 1 and 0 < kept[0].tree.count() < source.tree_rows(files).count()
+    assert len(alone) == 1 and alone == [str(r) for r in run_checks(files, [arrow, other]).collect() if r.check == "no_discarding_arrow_in_with"] and len(kept) == 1
