@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.llm import workers
 from rulequarry.llm.frames import whole_text
 from rulequarry.llm.words import PATTERN, WordCache, stretches
 
@@ -130,6 +131,7 @@ class MergeReplay:
 
 
 _coders: dict = {}
+workers.keeps("bpe", _coders.clear)
 
 
 class Coder:
@@ -158,6 +160,7 @@ def encode_texts(texts: list[str], path: str = VOCABULARY) -> list[list[int]]:
 
 def _digests(path):
     def run(batches):
+        workers.begin("bpe")
         cache = coder(path).told
         for batch in batches:
             texts, rows = batch.column("text").to_pylist(), []
@@ -183,6 +186,7 @@ def encode_digests(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def _encode_column(path):
     def run(batches):
+        workers.begin("bpe")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             ids = [x for a, b in stretches(texts) for x in encode_texts(texts[a:b], path)]
@@ -200,6 +204,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``data``, the bytes behind ``ids``; null ids give null bytes, and an id outside the vocabulary is an error."""
 
     def run(batches):
+        workers.begin("bpe")
         replay = coder(path).replay
         for batch in batches:
             data = [None if x is None else replay.decode(x) for x in batch.column("ids").to_pylist()]

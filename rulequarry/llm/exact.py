@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.llm import workers
 from rulequarry.llm.frames import SPACES, numbered, whole_text
 from rulequarry.session import Scratch
 
@@ -53,6 +54,7 @@ def fingerprint(data: np.ndarray, base: int, modulus: int) -> int:
 
 def _hash_chunks(moduli):
     def run(batches):
+        workers.begin("exact")
         for batch in batches:
             hashes: list[list[int]] = [[] for _ in moduli]
             lengths = []
@@ -71,6 +73,7 @@ def _combine_chunks(moduli):
     """The rows of a document come together, in order of their parts, since the input is sorted."""
 
     def run(batches):
+        workers.begin("exact")
         row, size, value = None, 0, [0, 0]
         for batch in batches:
             out = []

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulequarry.llm import candidates
+from rulequarry.llm import candidates, workers
 from rulequarry.llm.components import connected_components, local_components
 from rulequarry.llm.frames import whole_text
 from rulequarry.llm.minhash import mixed, windows
@@ -37,6 +37,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+workers.keeps("near_texts", _words.clear)
 
 
 def shingles(text: bytes, words_each: int = WORDS) -> np.ndarray:
@@ -71,6 +72,7 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
 
 
 def _print_texts(batches):
+    workers.begin("near_texts")
     for batch in batches:
         prints = [fingerprint(shingles(t.as_buffer().to_pybytes())) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("number"), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1))], ["number", "a", "b"])
@@ -131,6 +133,7 @@ def _search(far, far_half):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "number"])
 
     def run(batches):
+        workers.begin("near_texts")
         parts, size, seen = [], 0, set()
         for batch in batches:
             table = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "number", "a", "b")]
@@ -151,6 +154,7 @@ def _search(far, far_half):
 
 
 def _shingle_texts(batches):
+    workers.begin("near_texts")
     for batch in batches:
         sets = [shingles(t.as_buffer().to_pybytes()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["number", "size", "value"])

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.llm import workers
 from rulequarry.llm.frames import whole_text
 from rulequarry.llm.words import PATTERN, STRETCH, WordCache, stretches
 
@@ -36,6 +37,7 @@ NEAR = 1 << 17
 KNOWN = 600_000
 
 _coders: dict = {}
+workers.keeps("packing", _coders.clear)
 
 
 class Coder:
@@ -179,6 +181,7 @@ def pack(sizes: list[int], window: int = WINDOW, tiers: tuple = TIERS) -> list[l
 
 def _pack_rows(path, added, window, tiers, buffer, groups):
     def run(batches):
+        workers.begin("packing")
         own, base, done = coder(path, added), TaskContext.get().partitionId() << 33, 0
         ids, data = [], []
 

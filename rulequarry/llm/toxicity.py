@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulequarry.llm import workers
 from rulequarry.llm.frames import whole_text
 from rulequarry.llm.words import WordCache
 
@@ -125,6 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, whole
 
 def _scores(shared):
     def run(batches):
+        workers.begin("toxicity")
         model = shared.value
         for batch in batches:
             score = model.score(batch.column("text").to_pylist())
@@ -145,6 +147,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        workers.begin("toxicity")
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             keep = [s < 0.5 for a in range(0, len(texts), 128) for s in shared.value.score(texts[a : a + 128])]
