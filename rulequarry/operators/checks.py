@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rulequarry.functions.patterns import is_code_line
 from rulequarry.operators.facts import Facts, below, children, with_child
-from rulequarry.operators.graph import chain_text, first_paths, transitive_closure
+from rulequarry.operators.graph import chain_text, first_paths
 from rulequarry.session import Scratch
 
 ISSUES = ["check", "rule_id", "category", "path", "line_no", "trigger", "message"]
@@ -98,9 +98,7 @@ def no_transitive_dependency(facts: Facts, matched: DataFrame, scratch: Scratch,
     edges = scratch.keep(facts.edges)
     wanted = matched.join(facts.modules.select("path", "module"), "path").select("rule_id", "path", F.col("module").alias("start"), F.explode("forbidden_modules").alias("target"))
     wanted = scratch.keep(wanted.where("start <> target"))
-    forward = transitive_closure(edges, wanted.select("start"), scratch)
-    wanted = scratch.keep(wanted.join(forward.withColumnRenamed("node", "target"), ["start", "target"], "left_semi"))
-    paths = first_paths(edges, wanted.select("start", "target"), scratch, forward=forward).withColumnRenamed("path", "chain")
+    paths = scratch.keep(first_paths(edges, wanted.select("start", "target"), scratch)).withColumnRenamed("path", "chain")
     found = wanted.join(paths, ["start", "target"]).withColumn("dep", F.element_at("chain", 2)).join(facts.deps, ["path", "dep"], "left")
     return issue(found, "no_transitive_dependency", "design", "last_line", "target", told("Module has transitive dependency on forbidden module ", F.col("target"), chain_text(F.col("chain"))))
 

@@ -93,13 +93,20 @@ def _walk_paths(graph, schema):
         names, begin, after = graph.value
         n = len(names)
         came, at = array("i", [-1]) * n, array("i", begin)
+
+        def told(pairs, nodes, ends):
+            starts, targets = (names.take(pa.array(x, pa.int32())) for x in (pairs[::2], pairs[1::2]))
+            return pa.RecordBatch.from_arrays([starts, targets, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(nodes, pa.int32())))], schema)
+
         for batch in batches:
-            starts = pc.index_in(batch.column("start"), names).to_pylist()
-            for row, (node, targets) in enumerate(zip(starts, batch.column("targets"), strict=True)):
+            asked = batch.column("targets")
+            starts, places = (pc.index_in(x, names).to_pylist() for x in (batch.column("start"), asked.flatten()))
+            pairs, nodes, ends, first = array("i"), array("i"), array("i", [0]), 0
+            for node, many in zip(starts, pc.list_value_length(asked).to_pylist(), strict=True):
+                own, first = places[first : first + many], first + many
                 if node is None:  # no edges
                     continue
-                places = pc.index_in(targets.values, names).to_pylist()
-                todo, met, here = {x for x in places if x is not None and x != node}, [node], node
+                todo, met, here = {x for x in own if x is not None and x != node}, [node], node
                 came[node] = node
                 while todo:
                     i = at[here]
@@ -115,16 +122,21 @@ def _walk_paths(graph, schema):
                         met.append(new)
                         todo.discard(new)
                         here = new
-                for j, target in enumerate(places):
+                for target in own:
                     if target is None or target == node or came[target] < 0:
                         continue
                     path = [target]
                     while path[-1] != node:
                         path.append(came[path[-1]])
-                    found = pa.ListArray.from_arrays(pa.array([0, len(path)], pa.int32()), names.take(pa.array(path[::-1])))
-                    yield pa.RecordBatch.from_arrays([batch.column("start").slice(row, 1), targets.values.slice(j, 1), found], schema)
+                    pairs.extend((node, target))
+                    nodes.extend(reversed(path))
+                    ends.append(len(nodes))
                 for x in met:
                     came[x], at[x] = -1, begin[x]
+                if len(nodes) > 1 << 16:
+                    yield told(pairs, nodes, ends)
+                    pairs, nodes, ends = array("i"), array("i"), array("i", [0])
+            yield told(pairs, nodes, ends)
 
     return run
 
